@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 
@@ -36,7 +37,7 @@ _UNUSUAL = re.compile("[^\n\t\r -~¡-įı-ɏ]|<\\|")
 class WordBpe:
     """One encoder for each Python worker; the piece cache is bounded."""
 
-    def __init__(self, path: str | None = None, cache: int = 700_000):
+    def __init__(self, path: str | None = None, cache: int = 1_200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -61,7 +62,7 @@ class WordBpe:
             for at in range(0, len(new), 20_000):
                 part = new[at : at + 20_000]
                 for word, e in zip(part, self.whole.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    self.cache[word] = np.array(e.ids, np.uint16).tobytes()
+                    self.cache[word] = array("H", e.ids).tobytes()
         get = self.cache.__getitem__
         return [
             np.array(self.whole.encode(t, add_special_tokens=False).ids, np.uint16)
