@@ -1,10 +1,426 @@
-"""The registered queries of the reference's own operators."""
+"""The registered queries of the reference's own operators, with their DuckDB SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from . import adapters as A
+from .functions import scores, text
+from .operators import edges as E
+from .operators import registry as G
+from .operators import retrieval as R
+from .operators import signatures as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+_COARSE = """sig AS (
+  SELECT section, concept, w / sum(w) OVER (PARTITION BY section) AS weight FROM (
+    SELECT l_orderkey AS section, p_brand AS concept, sum(l_extendedprice) AS w FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL))"""
+_FINE = """sig AS (
+  SELECT section, concept, w / sum(w) OVER (PARTITION BY section) AS weight FROM (
+    SELECT l_orderkey AS section, l_partkey AS concept, sum(l_extendedprice) AS w FROM lineitem GROUP BY ALL))"""
+_SECTIONS = """sec AS (
+  SELECT o_orderkey AS section, o_custkey AS book, o_orderdate AS seq, r_name AS source
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+_OVERLAPS = """con AS (
+  SELECT x.section AS a, y.section AS b, sum(least(x.weight, y.weight)) AS overlap, count(*) AS shared
+  FROM sig x JOIN sig y ON x.concept = y.concept AND x.section < y.section GROUP BY ALL HAVING round(sum(least(x.weight, y.weight)), 9) >= 0.35)"""
+_COS = """cos AS (
+  SELECT a.vec_id AS query, b.vec_id AS id, b.label AS source, round(coalesce(
+    list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE)))
+    / nullif(sqrt(list_sum(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))
+           * sqrt(list_sum(list_transform(b.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 0), 0), 6) AS score
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % {n} = 0)"""
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+@query(f"WITH {_COARSE} SELECT section, concept, round(weight, 6) AS weight FROM sig")
+def signature_normalize(spark, d):
+    return A.signatures(spark, d).withColumn("weight", F.round("weight", 6))
+
+
+@query(f"WITH {_COARSE} SELECT count(*) AS violations FROM (SELECT section FROM sig GROUP BY section HAVING abs(sum(weight) - 1) > 0.01)")
+def weight_invariant(spark, d):
+    return S.violations(A.signatures(spark, d)).agg(F.count("*").alias("violations"))
+
+
+@query(f"WITH {_FINE}, {_OVERLAPS} SELECT a, b, round(overlap, 6) AS overlap, shared FROM con")
+def conceptual_edges(spark, d):
+    return E.conceptual(A.signatures(spark, d, fine=True)).withColumn("overlap", F.round("overlap", 6))
+
+
+@query(f"""WITH {_COARSE}, one AS (SELECT concept, count(*) AS n FROM sig GROUP BY 1), two AS (
+  SELECT x.concept AS a, y.concept AS b, count(*) AS together FROM sig x JOIN sig y ON x.section = y.section AND x.concept < y.concept GROUP BY ALL HAVING count(*) >= 3),
+t AS (SELECT CAST(count(DISTINCT section) AS DOUBLE) AS total FROM sig)
+SELECT a, b, together, p.n AS n_a, q.n AS n_b,
+  round(CASE WHEN together = total THEN 1.0 ELSE ln((together / total) / ((p.n / total) * (q.n / total))) / -ln(together / total) END, 4) AS npmi
+FROM two JOIN one p ON p.concept = a JOIN one q ON q.concept = b CROSS JOIN t WHERE npmi >= -0.1""")
+def cooccurrence_npmi(spark, d):
+    return E.co_occurrence(A.signatures(spark, d), floor=-0.1)
+
+
+@query(f"""WITH {_COARSE}, two AS (
+  SELECT x.concept AS a, y.concept AS b, count(*) AS n, covar_pop(x.weight, y.weight) AS c, stddev_pop(x.weight) AS sa, stddev_pop(y.weight) AS sb
+  FROM sig x JOIN sig y ON x.section = y.section AND x.concept < y.concept GROUP BY ALL)
+SELECT a, b, n, abs(round(c / (sa * sb), 4)) AS weight, CASE WHEN round(c / (sa * sb), 4) < 0 THEN -1 ELSE 1 END AS sign
+FROM two WHERE n >= 5 AND sa >= 1e-9 AND sb >= 1e-9 AND abs(round(c / (sa * sb), 4)) >= 0.01""")
+def covariance_pearson(spark, d):
+    return E.co_variance(A.signatures(spark, d), floor=0.01)
+
+
+@query(f"WITH {_SECTIONS} SELECT section AS src, lead(section) OVER (PARTITION BY source, book ORDER BY seq, section) AS dst FROM sec QUALIFY dst IS NOT NULL")
+def adjacency_edges(spark, d):
+    return E.adjacency(A.sections(spark, d))
+
+
+@query(f"WITH {_SECTIONS} SELECT section AS src, lead(section) OVER (PARTITION BY source ORDER BY seq, section) AS dst FROM sec QUALIFY dst IS NOT NULL")
+def temporal_edges(spark, d):
+    return E.temporal(A.sections(spark, d))
+
+
+@query(f"WITH {_SECTIONS} SELECT section, source, CAST(row_number() OVER (PARTITION BY source ORDER BY seq, section) AS INTEGER) AS turn FROM sec")
+def interleaved_order(spark, d):
+    return E.reading_order(A.sections(spark, d))
+
+
+@query(f"WITH {_SECTIONS} SELECT section, source, CAST(row_number() OVER (PARTITION BY source ORDER BY seq, section) AS INTEGER) AS turn FROM sec")
+def temporal_order(spark, d):
+    return E.reading_order(A.sections(spark, d), interleaved=False)
+
+
+def _all_edges(spark, d):
+    near = E.conceptual(A.signatures(spark, d, fine=True)).select(F.lit("conceptual").alias("kind"), F.col("a").alias("src"), F.col("b").alias("dst"), F.round("overlap", 6).alias("weight"))
+    rest = [f(A.sections(spark, d)).select(F.lit(k).alias("kind"), "src", "dst", F.lit(1.0).alias("weight")) for k, f in (("structural", E.adjacency), ("temporal", E.temporal))]
+    return near.unionByName(rest[0]).unionByName(rest[1])
+
+
+_EDGES = f"""{_FINE}, {_OVERLAPS}, {_SECTIONS}, edg AS (
+  SELECT 'conceptual' AS kind, a AS src, b AS dst, round(overlap, 6) AS weight FROM con
+  UNION ALL SELECT 'structural', section, lead(section) OVER (PARTITION BY source, book ORDER BY seq, section) AS x, 1.0 FROM sec QUALIFY x IS NOT NULL
+  UNION ALL SELECT 'temporal', section, lead(section) OVER (PARTITION BY source ORDER BY seq, section) AS x, 1.0 FROM sec QUALIFY x IS NOT NULL)"""
+
+
+@query(f"WITH {_EDGES} SELECT kind, count(*) AS edges, round(avg(weight), 6) AS mean_weight, max(weight) AS max_weight FROM edg GROUP BY 1")
+def graph_stats(spark, d):
+    return E.stats(_all_edges(spark, d))
+
+
+@query(f"WITH {_EDGES} SELECT kind, CASE WHEN src = 7 THEN dst ELSE src END AS other, weight FROM edg WHERE src = 7 OR dst = 7 ORDER BY weight DESC, kind, other LIMIT 24")
+def ego_network(spark, d):
+    return E.ego(_all_edges(spark, d), 7)
+
+
+@query(f"""WITH {_EDGES}, new AS (
+  SELECT a, b, x.source AS source_a, y.source AS source_b, x.book AS ba, y.book AS bb, CAST(x.source <> y.source AS INTEGER) AS across, round(overlap, 6) AS overlap
+  FROM con JOIN sec x ON x.section = a JOIN sec y ON y.section = b
+  WHERE x.book <> y.book AND NOT EXISTS (SELECT 1 FROM edg WHERE kind = 'structural' AND ((src = a AND dst = b) OR (src = b AND dst = a)))),
+one AS (SELECT * FROM new QUALIFY row_number() OVER (PARTITION BY least(ba, bb), greatest(ba, bb), overlap ORDER BY across DESC, a, b) = 1)
+SELECT a, b, source_a, source_b, across, overlap FROM one ORDER BY across DESC, overlap DESC, a, b LIMIT 100""")
+def discovery_queue(spark, d):
+    return E.discovery(E.conceptual(A.signatures(spark, d, fine=True)), E.adjacency(A.sections(spark, d)), A.sections(spark, d))
+
+
+@query(f"WITH {_FINE} SELECT concept, round(sum(weight), 6) AS influence, count(*) AS usage, round(avg(weight), 6) AS mean_weight FROM sig GROUP BY 1 ORDER BY usage DESC, concept LIMIT 40")
+def top_concepts(spark, d):
+    return S.top_concepts(A.signatures(spark, d, fine=True))
+
+
+@query(f"""WITH {_FINE}, {_SECTIONS}, p AS (SELECT concept, count(DISTINCT source) AS sources FROM sig JOIN sec USING (section) GROUP BY 1)
+SELECT sources, count(*) AS concepts FROM p GROUP BY 1""")
+def concept_span(spark, d):
+    return S.spans(A.signatures(spark, d, fine=True), A.sections(spark, d))
+
+
+@query(f"""WITH {_FINE}, n AS (SELECT concept, count(*) AS n FROM sig GROUP BY 1)
+SELECT CASE WHEN n <= 1 THEN '<=1' WHEN n <= 5 THEN '<=5' WHEN n <= 20 THEN '<=20' ELSE '>20' END AS bucket, count(*) AS concepts FROM n GROUP BY 1""")
+def reuse_buckets(spark, d):
+    return S.reuse_buckets(A.signatures(spark, d, fine=True))
+
+
+@query(f"WITH {_COARSE} SELECT size, count(*) AS sections FROM (SELECT section, count(*) AS size FROM sig GROUP BY 1) GROUP BY 1")
+def sig_size_hist(spark, d):
+    return S.sizes(A.signatures(spark, d))
+
+
+@query(f"""WITH {_COARSE}, {_SECTIONS}, p AS (
+  SELECT section, source, row_number() OVER (PARTITION BY source ORDER BY seq DESC, section DESC) AS r FROM sec WHERE section IN (SELECT section FROM sig) QUALIFY r <= 3)
+SELECT source, CAST(r AS INTEGER) AS "rank", section, string_agg(concept || '=' || printf('%.2f', weight), ', ' ORDER BY weight DESC, concept) AS signature
+FROM p JOIN sig USING (section) GROUP BY ALL""")
+def section_samples(spark, d):
+    return S.samples(A.signatures(spark, d), A.sections(spark, d))
+
+
+@query(f"""WITH {_COARSE} SELECT concept, section, CAST(row_number() OVER (PARTITION BY concept ORDER BY weight DESC, section) AS INTEGER) AS "rank", round(weight, 6) AS weight
+FROM sig QUALIFY "rank" <= 3""")
+def usage_exemplars(spark, d):
+    return S.exemplars(A.signatures(spark, d)).withColumn("weight", F.round("weight", 6))
+
+
+@query(f"WITH {_COARSE} SELECT concept, round(count(*) / (SELECT count(DISTINCT section) FROM sig), 6) AS share FROM sig GROUP BY 1 HAVING count(*) > 0.1 * (SELECT count(DISTINCT section) FROM sig)")
+def stopword_concepts(spark, d):
+    return S.too_common(A.signatures(spark, d), share=0.1)
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def missing_embeddings(spark, d):
+    return A.table(spark, d, "documents").select("doc_id").join(A.table(spark, d, "labels"), "doc_id", "left_anti")
+
+
+@query("SELECT DISTINCT o_orderkey AS section FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def dangling_refs(spark, d):
+    lines = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("section"))
+    return A.table(spark, d, "orders").select(F.col("o_orderkey").alias("section")).distinct().join(lines, "section", "left_anti")
+
+
+_RANKED = 'SELECT query, {per} CAST(row_number() OVER (PARTITION BY query{by} ORDER BY score DESC, id) AS INTEGER) AS "rank", id, score FROM cos {where} QUALIFY "rank" <= {k}'
+
+
+@query("WITH " + _COS.format(n=100) + _RANKED.format(per="", by="", where="", k=8))
+def knn_global(spark, d):
+    return R.nearest(A.vector_queries(spark, d), A.vectors(spark, d))
+
+
+@query("WITH " + _COS.format(n=100) + _RANKED.format(per="source,", by=", source", where="", k=2))
+def knn_per_source(spark, d):
+    return R.nearest(A.vector_queries(spark, d), A.vectors(spark, d), k=2, per="source")
+
+
+@query("WITH " + _COS.format(n=100) + _RANKED.format(per="source,", by=", source", where="WHERE score >= 0.2", k=1))
+def knn_floor_dedupe(spark, d):
+    return R.nearest(A.vector_queries(spark, d), A.vectors(spark, d), k=1, per="source", floor=0.2)
+
+
+@query("WITH " + _COS.format(n=1) + "SELECT query AS a, id AS b, score FROM cos WHERE query < id AND score >= 0.4")
+def near_duplicates(spark, d):
+    return R.similar_pairs(A.vectors(spark, d), 0.4)
+
+
+@query("WITH " + _COS.format(n=100) + _RANKED.format(per="", by="", where="", k=1))
+def nearest_neighbour(spark, d):
+    return R.nearest(A.vector_queries(spark, d), A.vectors(spark, d), k=1)
+
+
+@query("WITH " + _COS.format(n=100) + """, top AS (SELECT query, id AS concept, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS r FROM cos WHERE score >= 0.2 QUALIFY r <= 6)
+SELECT query, concept, round(score / sum(score) OVER (PARTITION BY query), 6) AS weight FROM top""")
+def query_signature(spark, d):
+    near = R.nearest(A.vector_queries(spark, d), A.vectors(spark, d), k=6).withColumnRenamed("id", "concept")
+    return S.query_signature(near, floor=0.2).withColumn("weight", F.round("weight", 6))
+
+
+@query(f"""WITH {_FINE}, q AS (SELECT section AS query, concept, weight AS qw FROM sig WHERE section % 100 = 0), o AS (
+  SELECT query, sig.section, sum(least(qw, weight)) AS overlap FROM q JOIN sig USING (concept) GROUP BY ALL)
+SELECT query, section, round(overlap, 6) AS overlap, CAST(row_number() OVER (PARTITION BY query ORDER BY round(overlap, 9) DESC, section) AS INTEGER) AS "rank" FROM o QUALIFY "rank" <= 30""")
+def rank_by_signature(spark, d):
+    sig = A.signatures(spark, d, fine=True)
+    return S.rank_sections(sig.where("section % 100 = 0").withColumnRenamed("section", "query"), sig).withColumn("overlap", F.round("overlap", 6))
+
+
+@query("WITH " + _COS.format(n=100) + ", " + """l AS (
+  SELECT query, 'all' AS list, id, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS r FROM cos QUALIFY r <= 8
+  UNION ALL SELECT query, 's' || source, id, row_number() OVER (PARTITION BY query, source ORDER BY score DESC, id) AS r FROM cos QUALIFY r <= 8)
+SELECT query, id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score FROM l GROUP BY ALL""")
+def rrf_fuse(spark, d):
+    q, v = A.vector_queries(spark, d), A.vectors(spark, d)
+    lists = R.nearest(q, v).select("query", F.lit("all").alias("list"), "rank", "id")
+    return R.fuse(lists.unionByName(R.nearest(q, v, per="source").select("query", F.concat(F.lit("s"), "source").alias("list"), "rank", "id")))
+
+
+_SEATS = "WITH " + _COS.format(n=100) + """, t AS (SELECT query, source, id, score FROM cos QUALIFY row_number() OVER (PARTITION BY query, source ORDER BY score DESC, id) <= 8),
+s AS (SELECT *, CAST(row_number() OVER (PARTITION BY query, source ORDER BY score DESC, id) <= 2 AS INTEGER) AS seat FROM t)"""
+
+
+@query(_SEATS + " SELECT query, source, id, score, seat, CAST(row_number() OVER (PARTITION BY query ORDER BY seat DESC, score DESC, id) AS INTEGER) AS place FROM s")
+def source_floor(spark, d):
+    return R.seats(R.nearest(A.vector_queries(spark, d), A.vectors(spark, d), per="source").drop("rank"))
+
+
+@query()
+def budget_truncate(spark, d):
+    placed = R.seats(R.nearest(A.vector_queries(spark, d), A.vectors(spark, d), per="source").drop("rank"))
+    return R.fill(placed.withColumn("chars", F.lit(100) + F.col("id") % 400), 3000)
+
+
+_TERMS = ("the", "clown", "thing", "que", "oned")
+
+
+@query(f"""WITH tok AS (SELECT doc_id AS page, list_filter(regexp_split_to_array(lower(regexp_replace(translate(text, 'ٰـ', 'ا'), '\\p{{Mn}}', '', 'g')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS t FROM documents),
+s AS (SELECT page, len(t) AS length, t FROM tok WHERE len(t) > 0), tot AS (SELECT count(*) AS n, avg(length) AS mean FROM s),
+q AS (SELECT unnest({list(_TERMS)!r}) AS query), h AS (SELECT query, page, length, len(list_filter(t, lambda x: x = query)) AS tf FROM s CROSS JOIN q WHERE list_contains(t, query)),
+f AS (SELECT query, count(*) AS df FROM h GROUP BY 1), g AS (
+SELECT query, page, round(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean)), 6) AS score FROM h JOIN f USING (query) CROSS JOIN tot)
+SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, page) AS INTEGER) AS "rank", page, score FROM g QUALIFY "rank" <= 8""")
+def bm25_terms(spark, d):
+    index = R.postings(A.documents(spark, d).withColumnRenamed("section", "page"))
+    return R.bm25(index, spark.createDataFrame([(t, t) for t in _TERMS], "query string, phrase string"))
+
+
+@query()
+def bm25_phrase(spark, d):
+    index = R.postings(A.documents(spark, d).withColumnRenamed("section", "page"))
+    return R.bm25(index, spark.createDataFrame([("1", "and the"), ("2", "of the"), ("3", "in the of")], "query string, phrase string"))
+
+
+@query("SELECT url, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM pages")
+def slugify(spark, d):
+    return A.table(spark, d, "pages").select("url", text.slugify(F.col("url")).alias("slug"))
+
+
+@query("""WITH RECURSIVE v AS (SELECT doc_id AS section, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS vs FROM documents), w AS (SELECT * FROM v WHERE len(vs) > 0),
+walk AS (SELECT section, vs, 1 AS i, 1 AS page_no, len(vs[1]) AS size FROM w
+  UNION ALL SELECT section, vs, i + 1, CASE WHEN size > 0 AND size + len(vs[i + 1]) > 1200 THEN page_no + 1 ELSE page_no END,
+    CASE WHEN size > 0 AND size + len(vs[i + 1]) > 1200 THEN len(vs[i + 1]) ELSE size + len(vs[i + 1]) END FROM walk WHERE i < len(vs))
+SELECT section, CAST(page_no AS INTEGER) AS page_no, CAST(min(i) AS INTEGER) AS first_verse, CAST(max(i) AS INTEGER) AS last_verse, md5(string_agg(vs[i], chr(10) ORDER BY i)) AS text_md5 FROM walk GROUP BY section, page_no""")
+def page_refs(spark, d):
+    return R.pages(A.documents(spark, d)).withColumn("text_md5", F.md5("text")).drop("text")
+
+
+@query("""SELECT l.l_orderkey AS section, l.l_linenumber AS a, m.l_linenumber AS b FROM lineitem l JOIN lineitem m
+ON l.l_orderkey = m.l_orderkey AND l.l_linenumber < m.l_linenumber AND l.l_shipdate <= m.l_shipdate + INTERVAL 3 DAY AND m.l_shipdate <= l.l_shipdate + INTERVAL 3 DAY""")
+def range_overlap_lookup(spark, d):
+    t = A.table(spark, d, "lineitem")
+    spans = t.select("l_orderkey", "l_linenumber", F.col("l_shipdate").alias("lo"), (F.col("l_shipdate") + F.expr("INTERVAL 3 DAY")).alias("hi"))
+    x, y = (spans.toDF("section", n, f"lo_{n}", f"hi_{n}") for n in ("a", "b"))
+    return x.join(y, "section").where("a < b AND lo_a <= hi_b AND lo_b <= hi_a").select("section", "a", "b")
+
+
+@query("""WITH i AS (SELECT DISTINCT source || ':' || lang || ':' || doc_id AS id FROM documents), r AS (SELECT DISTINCT lang || ':' || doc_id AS ref FROM documents UNION SELECT 'nowhere'),
+t AS (SELECT ref, id FROM r JOIN i ON id = ref OR ends_with(id, ':' || ref))
+SELECT ref, CASE WHEN bool_or(ref = id) THEN ref ELSE min(id) END AS id FROM t GROUP BY ref HAVING bool_or(ref = id) OR count(DISTINCT id) = 1""")
+def unique_suffix_repair(spark, d):
+    docs = A.table(spark, d, "documents")
+    ids = docs.select(F.concat_ws(":", "source", "lang", F.col("doc_id").cast("string")).alias("id")).distinct()
+    refs = docs.select(F.concat_ws(":", "lang", F.col("doc_id").cast("string")).alias("ref"))
+    return R.repair_refs(refs.union(spark.createDataFrame([("nowhere",)], "ref string")).distinct(), ids)
+
+
+@query("""SELECT doc_id, len(string_split(text, ' ')) AS words, CAST((len(lower(text)) - len(replace(lower(text), 'the', ''))) / 3 AS BIGINT) AS hits,
+round(1000.0::DOUBLE * CAST((len(lower(text)) - len(replace(lower(text), 'the', ''))) / 3 AS BIGINT) / len(string_split(text, ' ')), 4) AS density FROM documents""")
+def marker_density(spark, d):
+    got = A.table(spark, d, "documents").select("doc_id", F.size(F.split("text", " ")).cast("long").alias("words"), text.occurrences(F.col("text"), "the").alias("hits"))
+    return got.withColumn("density", F.round(F.lit(1000.0) * F.col("hits") / F.col("words"), 4))
+
+
+@query(f"""WITH {_FINE}, l AS (SELECT section, list(concept ORDER BY concept) AS c FROM sig GROUP BY 1)
+SELECT a.section AS a, b.section AS b, round(len(list_intersect(a.c, b.c)) / len(list_distinct(list_concat(a.c, b.c))), 6) AS jaccard,
+       len(list_filter(b.c, lambda x: NOT list_contains(a.c, x))) AS novelty FROM l a JOIN l b ON b.section = a.section + 1""")
+def jaccard_novelty(spark, d):
+    sets = A.signatures(spark, d, fine=True).groupBy("section").agg(F.collect_set("concept").alias("c"))
+    x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
+    got = x.join(y, F.col("b") == F.col("a") + 1)
+    return got.select("a", "b", F.round(G.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"), F.size(F.array_except("y", "x")).cast("long").alias("novelty"))
+
+
+@query("""SELECT event_id, CAST(sum(CAST(event_type = 'signup' AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 99 PRECEDING) AS BIGINT) AS minted,
+round(median(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 19 PRECEDING), 6) AS median_value FROM events""")
+def trailing_mint(spark, d):
+    ev = A.events(spark, d).withColumn("mint", (F.col("event") == "signup").cast("long"))
+    return ev.select("event_id", G.trailing(ev, "mint", 100).alias("minted"), F.round(G.trailing_median("value", 20), 6).alias("median_value"))
+
+
+@query("SELECT user_id AS run, count(*) AS n, round(avg(CAST(event_type = 'error' AS INTEGER)), 6) AS empty_rate, round(median(value), 6) AS median_value FROM events GROUP BY 1")
+def retry_rate(spark, d):
+    return G.health(A.events(spark, d)).drop("level")
+
+
+@query()
+def run_health(spark, d):
+    return G.health(A.events(spark, d))
+
+
+@query("SELECT n, CASE WHEN n = 0 THEN 0.0 ELSE round(0.92::DOUBLE - (0.92::DOUBLE - 0.55::DOUBLE) * 150 / (150 + n), 6) END AS tau FROM (SELECT unnest(range(0, 1001)) AS n)")
+def tau_curve(spark, d):
+    return spark.range(1001).select(F.col("id").alias("n"), F.round(scores.novelty_threshold(F.col("id")), 6).alias("tau"))
+
+
+@query(f"""WITH {_SECTIONS}, b AS (SELECT source, book, count(*) AS n, min(seq) AS first FROM sec GROUP BY ALL)
+SELECT source, string_agg(book || '(' || n || ')', ' ' ORDER BY first, book) AS outline FROM b GROUP BY 1""")
+def corpus_outline(spark, d):
+    books = A.sections(spark, d).groupBy("source", "book").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    parts = F.sort_array(F.collect_list(F.struct("first", "book", "n")))
+    line = F.array_join(F.transform(parts, lambda p: F.concat(p["book"].cast("string"), F.lit("("), p["n"].cast("string"), F.lit(")"))), " ")
+    return books.groupBy("source").agg(line.alias("outline"))
+
+
+@query("SELECT user_id AS run, event_type AS event, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+def upsert_latest(spark, d):
+    ev = A.events(spark, d)
+    old, new = ev.where("event_id % 2 = 0"), ev.where("event_id % 2 = 1")
+    return S.upsert(old, new, ["run", "event"], F.struct("ts", "event_id").desc()).select("run", "event", "event_id", "value")
+
+
+@query(f"""WITH {_COARSE} SELECT section, CASE WHEN concept = 'Brand#12' THEN 'Brand#11' ELSE concept END AS concept, round(sum(weight), 6) AS weight FROM sig GROUP BY ALL""")
+def merge_repoint(spark, d):
+    winners = spark.createDataFrame([("Brand#12", "Brand#11")], "concept string, winner string")
+    return S.repoint(A.signatures(spark, d), winners).groupBy("section", "concept").agg(F.round(F.sum("weight"), 6).alias("weight"))
+
+
+@query()
+def registry_fold(spark, d):
+    v = A.vectors(spark, d).select((F.col("id") % 500).alias("key"), "v")
+    lines = A.table(spark, d, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("run"), F.col("l_orderkey").alias("ord"), F.col("l_orderkey").alias("section"), F.col("l_partkey").cast("string").alias("concept"),
+        (F.col("l_quantity") / 50).alias("confidence"), F.col("l_extendedprice").alias("weight"), (F.col("l_partkey") % 500).alias("key"),
+    )
+    first = v.groupBy("key").agg(F.first("v").alias("embedding"))
+    return G.gate_fold(lines.join(first, "key").drop("key"))
+
+
+@query()
+def greedy_match(spark, d):
+    near = R.nearest(A.vector_queries(spark, d), A.vectors(spark, d), k=10)
+    return G.greedy_match(near.select(F.lit("r").alias("run"), F.col("query").alias("a"), F.col("id").alias("b"), "score"), 0.2)
+
+
+@query()
+def closure(spark, d):
+    merges = A.table(spark, d, "customer").where("c_custkey > 1").select(F.col("c_custkey").alias("loser"), F.floor(F.col("c_custkey") / 2).alias("winner"))
+    return G.closure(spark, merges)
+
+
+@query()
+def rolling_median(spark, d):
+    return G.rolling_median(A.events(spark, d))
+
+
+@query()
+def passage_lookup(spark, d):
+    verses = A.table(spark, d, "lineitem").select(
+        F.concat(F.lit("Book "), F.chr(65 + F.col("l_suppkey") % 26), F.chr(97 + F.col("l_suppkey") % 7)).alias("book"), (F.col("l_orderkey") % 50).cast("int").alias("chapter"),
+        (F.col("l_linenumber") * 5 - 4).alias("first_verse"), (F.col("l_linenumber") * 5).alias("last_verse"), F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("page"),
+    )
+    refs = spark.createDataFrame([("Book Bb 3:2-7",), ("Book Cc 10",), ("nonsense",)], "ref string")
+    return R.lookup(refs, verses)
+
+
+@query()
+def graphml(spark, d):
+    return E.graphml(_all_edges(spark, d))
+
+
+@query(f"""WITH {_COARSE}, n AS (SELECT section, count(*) AS n, max_by(concept, (weight, concept)) AS top FROM sig GROUP BY 1), {_SECTIONS}
+SELECT source, count(*) AS sections, round(avg(n), 6) AS mean_size, count(DISTINCT top) AS leading FROM n JOIN sec USING (section) GROUP BY 1""")
+def snapshot(spark, d):
+    per = A.signatures(spark, d).groupBy("section").agg(F.count("*").alias("n"), F.max_by("concept", F.struct("weight", "concept")).alias("top"))
+    return per.join(A.sections(spark, d), "section").groupBy("source").agg(F.count("*").alias("sections"), F.round(F.avg("n"), 6).alias("mean_size"), F.count_distinct("top").alias("leading"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, event_id, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM g)
+SELECT user_id AS run, n AS session, count(*) AS events FROM (SELECT user_id, CAST(n AS BIGINT) AS n FROM s) GROUP BY ALL""")
+def sessions(spark, d):
+    order = Window.partitionBy("run").orderBy("ts", "event_id")
+    ev = A.events(spark, d).withColumn("new", F.coalesce((F.col("ts") > F.lag("ts").over(order) + F.expr("INTERVAL 6 HOUR")).cast("long"), F.lit(0)))
+    return ev.withColumn("session", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("run", "session").agg(F.count("*").alias("events"))
