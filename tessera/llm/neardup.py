@@ -10,10 +10,10 @@ size, and keeps the earliest of each coordinate; where a coordinate is still emp
 waits twice as long.
 
 Equal texts are one class member from the start. Representatives of distinct texts are
-joined on bands of ``ROWS`` coordinates: in each bucket all meet the smallest member, and
-those that fail against it meet all members of the bucket that are not yet of their
-class, so that no similar pair of a bucket is lost and no large group is expanded. Every
-pair is verified on the exact weighted Jaccard similarity, at least ``SIMILARITY``.
+joined on bands of ``ROWS`` coordinates: in each bucket all meet one head, and those that
+fail against it meet, by an exact prefix filter on rare shingles, all members of their
+buckets that are not yet of their class, so that no similar pair of a bucket is lost, and
+neither a large group nor a common passage is expanded into all pairs. Every pair is verified on the exact weighted Jaccard similarity, at least ``SIMILARITY``.
 A class is a connected component of verified pairs; its id is its least ``doc_id``.
 
 Texts that are null or have no word are near nothing: each is a class of its own. Rows
@@ -28,15 +28,15 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Hashes, components, materialize, mix, words_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
-K = 125
-ROWS = 5
+K = 240
+ROWS = 8
 _BATCH = 256
 _hashes = Hashes()
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
@@ -120,7 +120,7 @@ def _sign(k: int, rows: int, size: int):
             own = [i for i, r in enumerate(regions) if len(r)]
             if own:
                 for i, b in zip(own, bands_of(signatures([regions[i] for i in own], k), rows), strict=True):
-                    out[at + i] = b
+                    out[at + i] = np.append(len(regions[i]), b)
         return pd.Series(out, dtype=object)
 
     return F.pandas_udf(run, "array<long>")
@@ -148,6 +148,33 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, floor: float, name:
     return materialize(rows.select("src", "dst", similar.alias("similar")), f"{name}-verified")
 
 
+def _by_rare_regions(docs: DataFrame, near: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Candidate pairs (src, dst) of ``near(doc_id, label, open)``, one of them open and
+    not yet of one class: the exact prefix filter. Two texts at the similarity s share one
+    of the n - ceil(s n) + 1 regions that come first in any fixed order; here the rarest do,
+    so that texts which share no more than a common passage do not meet."""
+    parts = F.pandas_udf(lambda texts: pd.Series([shingles(t, size).view(np.int64) for t in texts], dtype=object), "array<long>")
+    rows = docs.join(near, "doc_id").select("doc_id", "label", "open", parts("text").alias("regions"))
+    rows = rows.select("doc_id", "label", "open", F.size("regions").alias("n"), F.explode("regions").alias("region"))
+    rows = materialize(rows, "neardup-regions")
+    common = rows.groupBy("region").agg(F.count("*").alias("c")).where("c > 1")
+    rows = rows.join(common, "region")  # the regions of one text alone come first, and meet nothing
+    per = Window.partitionBy("doc_id", "n")
+    rows = rows.withColumns({"m": F.count("*").over(per), "r": F.row_number().over(per.orderBy("c", "region"))})
+    rows = rows.withColumn("r", F.col("r") + F.col("n") - F.col("m"))
+    rows = rows.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - F.lit(1e-9)) + 1)
+    rows = materialize(rows.select("doc_id", "label", "open", "n", "region", "r"), "neardup-prefixes")
+    other = rows.select("region", *[F.col(c).alias(f"o_{c}") for c in ("doc_id", "label", "open", "n", "r")])
+    alike = F.least("n", "o_n") >= F.greatest("n", "o_n") * F.lit(similarity - 1e-12)
+    # after their first common region enough must be left for the overlap that the similarity asks for
+    overlap = F.ceil((F.col("n") + F.col("o_n")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-9))
+    alike = alike & (1 + F.least(F.col("n") - F.col("r"), F.col("o_n") - F.col("o_r")) >= overlap)
+    once = F.col("o_open").isNull() | (F.col("doc_id") < F.col("o_doc_id"))
+    own = rows.where("open").withColumnRenamed("region", "own")
+    got = own.join(other, (F.col("own") == F.col("region")) & (F.col("label") != F.col("o_label")) & alike & once)
+    return materialize(got.select(F.least("doc_id", "o_doc_id").alias("src"), F.greatest("doc_id", "o_doc_id").alias("dst")).distinct(), "neardup-pairs")
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
     """doc_id, class_id, is_first: a row for each document with an id."""
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
@@ -156,23 +183,34 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, rows: i
     # equal texts: map-side combined minimum, then every document knows its representative
     firsts = signed.where("bands IS NOT NULL").groupBy("content").agg(F.min("doc_id").alias("rep"))
     known = materialize(signed.select("doc_id", "content", "bands").join(firsts, "content", "left"), "neardup-known")
-    reps = known.where("doc_id = rep").select("doc_id", F.posexplode("bands").alias("band", "key"))
-    shared = reps.groupBy("band", "key").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1")
-    members = materialize(reps.join(shared.drop("n"), ["band", "key"]), "neardup-members")
-    stars = members.where("doc_id <> head").select(F.col("head").alias("src"), F.col("doc_id").alias("dst")).distinct()
-    tried = _verified(stars, docs, size, similarity, "neardup")
+    # the first number is the weight: similar texts have similar weights
+    reps = known.where("doc_id = rep").select("doc_id", F.get("bands", F.lit(0)).alias("n"), F.posexplode(F.slice("bands", 2, k // rows)).alias("band", "key"))
+    # the head of a bucket is the member that meets most others in all its buckets: of copies
+    # that were each changed in their own way, most often the text that they were made from
+    shared = reps.groupBy("band", "key").agg(F.count("*").alias("c")).where("c > 1")
+    members = materialize(reps.join(shared, ["band", "key"]), "neardup-buckets")
+    met = members.groupBy("doc_id").agg(F.sum("c").alias("met"))
+    members = members.join(met, "doc_id")
+    heads = members.groupBy("band", "key").agg(F.max(F.struct("met", (-F.col("doc_id")).alias("doc_id"), "n")).alias("h"))
+    heads = heads.select("band", "key", (-F.col("h.doc_id")).alias("head"), F.col("h.n").alias("head_n"))
+    members = materialize(members.drop("met", "c").join(heads, ["band", "key"]), "neardup-members")
+    alike = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(similarity - 1e-12)
+    stars = members.where("doc_id <> head").select(F.col("head").alias("src"), F.col("doc_id").alias("dst"), alike("n", "head_n").alias("alike")).distinct()
+    tried = _verified(stars.where("alike").select("src", "dst"), docs, size, similarity, "neardup")
     edges = tried.where("similar").select("src", "dst")
-    failed = tried.where("NOT similar").select("src", "dst")
+    failed = tried.where("NOT similar").select("src", "dst").union(stars.where("NOT alike").select("src", "dst"))
     found = components(edges, "neardup-cc")
-    if not failed.isEmpty():
-        lone = members.select(F.col("doc_id").alias("id")).distinct()
-        of = lone.join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
-        placed = members.join(of.withColumnRenamed("id", "doc_id"), "doc_id")
-        left = placed.join(failed.withColumnsRenamed({"src": "head", "dst": "doc_id"}), ["head", "doc_id"], "left_semi")
-        right = placed.select("band", "key", F.col("doc_id").alias("other"), F.col("label").alias("other_label"), "head")
-        again = left.drop("head").join(right, ["band", "key"]).where("label <> other_label AND other <> head")
-        again = again.select(F.least("doc_id", "other").alias("src"), F.greatest("doc_id", "other").alias("dst")).distinct()
+    lone = members.select(F.col("doc_id").alias("id")).distinct()
+    of = lone.join(found, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("label", "id").alias("label"))
+    placed = members.join(of, "doc_id")
+    left = placed.join(failed.withColumnsRenamed({"src": "head", "dst": "doc_id"}), ["head", "doc_id"], "left_semi")
+    left = materialize(left.select("band", "key", "doc_id", "label"), "neardup-failed")
+    if not left.isEmpty():
+        near = placed.join(left.select("band", "key").distinct(), ["band", "key"], "left_semi").select("doc_id", "label").distinct()
+        near = near.join(left.select("doc_id").distinct().withColumn("open", F.lit(True)), "doc_id", "left")
+        again = _by_rare_regions(docs, materialize(near, "neardup-near"), size, similarity)
         again = again.join(tried.select("src", "dst"), ["src", "dst"], "left_anti")
+        again = again.join(tried.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_anti")
         more = _verified(again, docs, size, similarity, "neardup-again").where("similar").select("src", "dst")
         if not more.isEmpty():
             found = components(edges.union(more), "neardup-cc2")
