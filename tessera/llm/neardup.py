@@ -154,7 +154,8 @@ def _by_rare_regions(docs: DataFrame, near: DataFrame, size: int, similarity: fl
     of the n - ceil(s n) + 1 regions that come first in any fixed order; here the rarest do,
     so that texts which share no more than a common passage do not meet."""
     parts = F.pandas_udf(lambda texts: pd.Series([shingles(t, size).view(np.int64) for t in texts], dtype=object), "array<long>")
-    rows = docs.join(near, "doc_id").select("doc_id", "label", "open", parts("text").alias("regions"))
+    own = materialize(docs.join(near, "doc_id"), "neardup-near-texts")
+    rows = own.select("doc_id", "label", "open", parts("text").alias("regions"))
     rows = rows.select("doc_id", "label", "open", F.size("regions").alias("n"), F.explode("regions").alias("region"))
     rows = materialize(rows, "neardup-regions")
     common = rows.groupBy("region").agg(F.count("*").alias("c")).where("c > 1")
