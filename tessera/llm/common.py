@@ -52,7 +52,7 @@ def word_count(text):
 class Hashes(dict):
     """word -> 64-bit hash, kept for words seen lately (bounded)."""
 
-    LIMIT = 500_000
+    LIMIT = 250_000
 
     def __missing__(self, word: str) -> int:
         import xxhash

@@ -122,7 +122,7 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
         for pdf in frames:
             for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
                 counts.setdefault(lang, Counter()).update(_find(text.lower()))
-        for lang, c in counts.items():
+        for lang, c in ((k, v) for k, v in counts.items() if v):
             yield pd.DataFrame({"lang": lang, "word": list(c), "n": list(c.values())})
 
     rows = sample.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect()
@@ -138,7 +138,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(texts: pd.Series) -> pd.DataFrame:
         rows = [shared.value.predict(t) for t in texts]
-        return pd.DataFrame(rows, columns=["lang_pred", "score"])
+        return pd.DataFrame({"lang_pred": pd.Series([r[0] for r in rows], dtype=object), "score": pd.Series([r[1] for r in rows], dtype=float)})
 
     got = F.pandas_udf(run, "lang_pred string, score double")(F.col("text"))
     return docs.withColumn("_p", got).select(*docs.columns, "_p.lang_pred", "_p.score")

@@ -37,7 +37,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 K = 240
 ROWS = 8
-_BATCH = 256
+_BATCH, _REGIONS = 128, 100_000  # texts, or their regions, whose darts are thrown together
 _hashes = Hashes()
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -115,12 +115,23 @@ def bands_of(ids: np.ndarray, rows: int = ROWS) -> np.ndarray:
 def _sign(k: int, rows: int, size: int):
     def run(texts: pd.Series) -> pd.Series:
         out: list[np.ndarray | None] = [None] * len(texts)
-        for at in range(0, len(texts), _BATCH):
-            regions = [shingles(t, size) for t in texts.iloc[at : at + _BATCH]]
-            own = [i for i, r in enumerate(regions) if len(r)]
+        own: list[int] = []
+        held: list[np.ndarray] = []
+
+        def flush() -> None:
             if own:
-                for i, b in zip(own, bands_of(signatures([regions[i] for i in own], k), rows), strict=True):
-                    out[at + i] = np.append(len(regions[i]), b)
+                for i, r, b in zip(own, held, bands_of(signatures(held, k), rows), strict=True):
+                    out[i] = np.append(len(r), b)
+            own.clear()
+            held.clear()
+
+        for i, text in enumerate(texts):
+            if len(regions := shingles(text, size)):
+                own.append(i)
+                held.append(regions)
+                if len(own) >= _BATCH or sum(map(len, held)) >= _REGIONS:
+                    flush()
+        flush()
         return pd.Series(out, dtype=object)
 
     return F.pandas_udf(run, "array<long>")
