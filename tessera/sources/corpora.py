@@ -101,7 +101,7 @@ def zip_members(spark: SparkSession, path: str) -> DataFrame:
 def markdown_table(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Rows of the table whose header holds ``columns``, in a Markdown file."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
-    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
     rows = lines.where(F.trim("line").startswith("|")).select("n", cells.alias("c"))
     head = rows.where(F.size(F.array_intersect("c", F.array(*map(F.lit, columns)))) == len(columns)).orderBy("n").limit(1).select(F.col("n").alias("h"), F.col("c").alias("names"))
     gap = lines.where(~F.trim("line").startswith("|")).select(F.col("n").alias("g"))
