@@ -152,8 +152,18 @@ def _featurise(frames):
 def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS):
     modulus, held = HELD_OUT
     sample = labelled_sample(docs, labels, "toxic", rows_per_class, crc_mod("doc_id", modulus) != held)
-    rows = sample.mapInPandas(_featurise, "doc_id long, label int, f array<int>").toPandas().sort_values("doc_id", kind="stable")
-    return fit([np.asarray(f, np.int64) for f in rows["f"]], rows["label"].to_numpy(float))
+    rows = sample.mapInPandas(_featurise, "doc_id long, label int, f array<int>")
+
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doc_id", kind="stable")
+        at, weights, bias = fit(pdf["f"].tolist(), pdf["label"].to_numpy(float))
+        return pd.DataFrame({"at": [at], "weights": [weights], "bias": [bias]})
+
+    # the bounded sample is learned in one task; the driver gets the non-zero weights alone
+    got = rows.groupBy(F.lit(1)).applyInPandas(learn, "at array<long>, weights array<double>, bias double").collect()
+    if not got:
+        return fit([], np.zeros(0))
+    return np.array(got[0]["at"], np.int64), np.array(got[0]["weights"], float), got[0]["bias"]
 
 
 def _score(model):
