@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
         return pd.DataFrame({"at": [at], "weights": [weights], "bias": [bias]})
 
     # the bounded sample is learned in one task; the driver gets the non-zero weights alone
-    got = rows.groupBy(F.lit(1)).applyInPandas(learn, "at array<long>, weights array<double>, bias double").collect()
+    got = rows.withColumn("one", F.lit(True)).groupBy("one").applyInPandas(learn, "at array<long>, weights array<double>, bias double").collect()
     if not got:
         return fit([], np.zeros(0))
     return np.array(got[0]["at"], np.int64), np.array(got[0]["weights"], float), got[0]["bias"]
