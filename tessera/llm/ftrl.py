@@ -80,6 +80,8 @@ def features(text: str | None) -> np.ndarray:
 class Scorer:
     """Scores texts by the few non-zero weights; a word's weighted stems are kept."""
 
+    LIMIT = 300_000
+
     def __init__(self, at: np.ndarray, weights: np.ndarray, bias: float):
         self.bias, self.dense = bias, np.zeros(1 << BITS)
         self.dense[at] = weights
@@ -87,8 +89,6 @@ class Scorer:
         self.stems: dict[str, tuple[int, ...]] = {}
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.stems) + len(words) > _Stems.LIMIT:
-            self.stems.clear()
         cut = [[_hashes_of_stem(w[:n]) for n in STEMS if len(w) > n] for w in words]
         flat = _stem_coordinates(list(chain.from_iterable(cut)))
         hit, start = self.mask[flat], 0
@@ -105,6 +105,8 @@ class Scorer:
                 continue
             own = set(words)
             if new := own.difference(self.stems):
+                if len(self.stems) + len(new) > self.LIMIT:
+                    self.stems, new = {}, own
                 self._learn(list(new))
             hits = {x for s in map(self.stems.__getitem__, own) if s for x in s}
             for c in _coordinates(_hashes.of(words)):

@@ -194,3 +194,12 @@ def test_pipeline(spark):
         assert 0 < new.count()
         docs = new
     assert p.STAGES[-1][1](spark, docs, DATA).count() > 0
+
+
+def test_scorer_survives_a_full_cache():
+    at = np.arange(0, 1 << ftrl.BITS, 50)
+    texts = [" ".join(f"word{i * j}x" for j in range(40)) for i in range(30)]
+    scorer = ftrl.Scorer(at, np.ones(len(at)), 0.0)
+    scorer.LIMIT = 60
+    want = [float(np.isin(ftrl.features(t), at).sum()) for t in texts]
+    assert np.allclose(scorer.raw(texts), want)
