@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, crc_mod, labelled_sample, mix, words_of
+from .common import HASHES, crc_mod, labelled_sample, mix, release, take_turn, words_of
 
 ROWS_PER_CLASS = 4000
 THRESHOLD = 0.3
@@ -32,7 +32,6 @@ STATISTICS = (
     "non_ascii", "lines", "line_words", "ended_lines", "repeated_lines", "distinct_words", "repeated_triples", "top_word",
     "one_letter_words", "long_words",
 )
-_hashes = Hashes()
 _S = np.uint64(0x9E3779B97F4A7C15)
 _SYMBOLS = np.frombuffer(b"#*$%&|<>@^~_=+{}[]\\", np.uint8)
 
@@ -49,7 +48,7 @@ def statistics(text: str | None) -> list[float]:
     raw = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
     lines = [x for x in text.split("\n") if x.strip()]
     n, w, m = max(1, int(raw.sum())), max(1, len(words)), max(1, len(lines))
-    h = _hashes.of(words)
+    h = HASHES.of(words)
     _, counts = np.unique(h, return_counts=True) if words else (None, np.zeros(1))
     lengths = np.fromiter(map(len, words), np.int64, len(words)) if words else np.zeros(1)
     triples = mix((h[:-2] * _S + h[1:-1]) * _S + h[2:]) if len(h) > 2 else h[:0]
@@ -125,6 +124,7 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Trees
 
 
 def _describe(frames):
+    take_turn("boosting")
     for pdf in frames:
         yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "x": [statistics(t) for t in pdf["text"]]})
 
@@ -146,7 +146,10 @@ def _score(model: Trees):
     def run(texts: pd.Series) -> pd.Series:
         if not len(texts):
             return pd.Series([], dtype=float)
-        return pd.Series(model.score(np.array([statistics(t) for t in texts])))
+        take_turn("boosting")
+        out = pd.Series(model.score(np.array([statistics(t) for t in texts])))
+        release()
+        return out
 
     return F.pandas_udf(run, "double")
 

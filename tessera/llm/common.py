@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import uuid
@@ -66,6 +67,30 @@ class Hashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: The word hashes of a Python worker, shared by the operators that run in it.
+HASHES = Hashes()
+_turn: dict = {"of": None, "forget": None}
+
+
+def release() -> None:
+    """Gives memory that a Python worker has freed back to the machine."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def take_turn(of: str, forget=None) -> None:
+    """Called in a Python worker by the operator ``of``. Workers outlive a stage: what the
+    operator before this one has kept in this worker is given up (``forget``)."""
+    if _turn["of"] != of:
+        if _turn["forget"] is not None:
+            _turn["forget"]()
+        _turn.update(of=of, forget=forget)
+    release()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, over uint64 arrays."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -31,21 +31,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Hashes, components, materialize, mix, words_of
+from .common import HASHES, components, materialize, mix, release, take_turn, words_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
 K = 240
 ROWS = 8
 _BATCH, _REGIONS = 128, 100_000  # texts, or their regions, whose darts are thrown together
-_hashes = Hashes()
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted 64-bit regions of a text: shingles told apart by occurrence."""
-    h = _hashes.of(words_of(text)) if text else np.zeros(0, np.uint64)
+    h = HASHES.of(words_of(text)) if text else np.zeros(0, np.uint64)
     if not len(h):
         return h
     n = max(1, len(h) - size + 1)
@@ -114,6 +113,7 @@ def bands_of(ids: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 def _sign(k: int, rows: int, size: int):
     def run(texts: pd.Series) -> pd.Series:
+        take_turn("neardup")
         out: list[np.ndarray | None] = [None] * len(texts)
         own: list[int] = []
         held: list[np.ndarray] = []
@@ -132,6 +132,7 @@ def _sign(k: int, rows: int, size: int):
                 if len(own) >= _BATCH or sum(map(len, held)) >= _REGIONS:
                     flush()
         flush()
+        release()
         return pd.Series(out, dtype=object)
 
     return F.pandas_udf(run, "array<long>")
@@ -139,6 +140,7 @@ def _sign(k: int, rows: int, size: int):
 
 def _compare(size: int):
     def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        take_turn("neardup")
         out, last, shelf = [], None, None
         for a, b in zip(left, right, strict=True):
             if a != last:

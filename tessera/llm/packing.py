@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
-from .tokens import END_ID, encoder
+from .common import materialize, release, take_turn
+from .tokens import END_ID, encoder, forget
 
 LENGTH = 4096
 
@@ -43,6 +43,7 @@ _BATCH = 500
 
 def _encode(path: str | None):
     def run(batches):
+        take_turn("packing", forget)
         bpe, part, before = encoder(path), TaskContext.get().partitionId(), 0
         end = np.array([END_ID], np.uint16).tobytes()
         for whole in batches:
@@ -54,6 +55,7 @@ def _encode(path: str | None):
                 before += int(n.sum())
                 columns = [pa.array(np.full(len(n), part, np.int32)), rows.column(0), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, _ENCODED.names)
+        release()
 
     return run
 

@@ -79,3 +79,8 @@ def encoder(path: str | None = None) -> WordBpe:
     if path not in _encoders:
         _encoders[path] = WordBpe(path)
     return _encoders[path]
+
+
+def forget() -> None:
+    """Gives up this worker's encoders and the pieces they have kept."""
+    _encoders.clear()
