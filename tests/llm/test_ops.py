@@ -167,6 +167,42 @@ def test_fuzzy_lines(spark):
     assert got == {1: (f"{line}\nkeep me", 0), 2: ("Other line", 2), 3: ("12 34\n12 34\n", 0)}
 
 
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_fuzzy_lines_finds_similar_lines_of_every_length(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("etaoinshrdlucmfw") for _ in range(rng.randint(2, 9)))
+    rows, found = [], {"words": [], "letters": []}
+    for i, (k, kind) in enumerate((k, kind) for k in (5, 8, 12, 20, 30, 50, 70, 100) for kind in found for _ in range(12)):
+        line = " ".join(word() for _ in range(k))
+        while True:
+            if kind == "words":
+                ws = line.split()
+                for at in rng.sample(range(k), max(1, k // 12)):
+                    ws[at] = word()[: rng.randint(2, 9)]
+                near = " ".join(ws)
+            else:  # letters anywhere, 4 % of them
+                cs = list(line)
+                for at in rng.sample([j for j, c in enumerate(cs) if c != " "], max(1, len(cs) // 25)):
+                    cs[at] = "z"
+                near = "".join(cs)
+            if near != line and _distance(line, near) <= 0.1 * max(len(line), len(near)):
+                break
+        rows += [(2 * i, line), (2 * i + 1, near)]
+        found[kind].append(2 * i + 1)
+    cut = {r.doc_id for r in fuzzylines.dedupe(spark.createDataFrame(rows, "doc_id long, text string")).where("n_cut = 1").collect()}
+    assert cut <= set(found["words"] + found["letters"])  # no line that is not similar
+    recall = {kind: len(cut & set(ids)) / len(ids) for kind, ids in found.items()}
+    assert recall["words"] >= 0.98 and recall["letters"] >= 0.9, recall
+
+
 def test_learned_operators_hold_out(spark):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet")
