@@ -107,6 +107,17 @@ def similar_pairs(vectors: DataFrame, floor: float, blocks: int = 8) -> DataFram
     return got.where(F.col("score") >= floor).select(F.col("x").alias("a"), F.col("y").alias("b"), "score")
 
 
+def pairs_between(left: DataFrame, right: DataFrame, floor: float, blocks: int = 8) -> DataFrame:
+    """All pairs (a, b, score) of a row of ``left`` and one of ``right``, (id, v), at or over
+    the cosine floor: every block of the one meets every block of the other, by an equi-join
+    on the pair of blocks. No row's pairs are capped."""
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    x = left.select(F.col("id").alias("a"), F.col("v").alias("va"), _block("id", blocks).alias("i"), every.alias("j"))
+    y = right.select(F.col("id").alias("b"), F.col("v").alias("vb"), _block("id", blocks).alias("j"), every.alias("i"))
+    got = x.join(y, ["i", "j"]).withColumn("score", F.round(cosine(F.col("va"), F.col("vb")), 6))
+    return got.where(F.col("score") >= floor).select("a", "b", "score")
+
+
 def fuse(lists: DataFrame, constant: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of (query, list, rank, id), ranks from 1."""
     return lists.groupBy("query", "id").agg(F.round(F.sum(1.0 / (constant + F.col("rank"))), 9).alias("score"))

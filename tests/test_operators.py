@@ -1,13 +1,17 @@
 import math
 import zipfile
 
+import numpy as np
 import pytest
+from conftest import DATA
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tessera import adapters
 from tessera.functions import scores, text
 from tessera.operators import edges, registry, retrieval, signatures
+from tessera.queries import QUERIES
 from tessera.sources import corpora, sinks
 from tessera.streaming import monitor
 
@@ -71,6 +75,20 @@ def test_registry(spark):
     assert rows(registry.greedy_match(pairs)) == [("r", 1, 2, 0.95)]
 
 
+def test_greedy_match_of_all_pairs(spark):
+    vectors = {r.id: np.array(r.v, float) for r in adapters.vectors(spark, DATA).collect()}
+    cos = lambda x, y: round(float(x @ y) / (np.linalg.norm(x) * np.linalg.norm(y)), 6)
+    pairs = [(-cos(vectors[a], vectors[b]), a, b) for a in vectors for b in vectors if a % 2 == 0 and b % 2 == 1]
+    left, right, want = set(), set(), set()
+    for score, a, b in sorted(pairs):
+        if score <= -0.2 and a not in left and b not in right:
+            left.add(a)
+            right.add(b)
+            want.add((a, b))
+    got = {(r.a, r.b) for r in QUERIES["greedy_match"](spark, DATA).collect()}
+    assert got == want and len(got) > 100
+
+
 def test_merge_and_upsert(spark):
     sig = spark.createDataFrame([(1, "a", 0.4), (1, "b", 0.6)], "section int, concept string, weight double")
     assert rows(signatures.repoint(sig, spark.createDataFrame([("b", "a")], "concept string, winner string"))) == [(1, "a", 1.0)]
