@@ -41,6 +41,12 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def added(docs: DataFrame, *names: str) -> None:
+    """Fails if ``docs`` has a column that an operator is about to add."""
+    if clash := {c.lower() for c in docs.columns} & set(names):
+        raise ValueError(f"the table has columns of the names that are added: {sorted(clash)}")
+
+
 def crc_mod(doc_id, n: int):
     """crc32 of the id as text, modulo n: the fold of a document."""
     return F.crc32(F.col(doc_id).cast("string")) % n
