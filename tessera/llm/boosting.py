@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASHES, crc_mod, labelled_sample, mix, release, take_turn, words_of
+from .common import crc_mod, labelled_sample, mix, release, take_turn, word_hashes, words_of
 
 ROWS_PER_CLASS = 4000
 THRESHOLD = 0.3
@@ -48,7 +48,7 @@ def statistics(text: str | None) -> list[float]:
     raw = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
     lines = [x for x in text.split("\n") if x.strip()]
     n, w, m = max(1, int(raw.sum())), max(1, len(words)), max(1, len(lines))
-    h = HASHES.of(words)
+    h = word_hashes(text)
     _, counts = np.unique(h, return_counts=True) if words else (None, np.zeros(1))
     lengths = np.fromiter(map(len, words), np.int64, len(words)) if words else np.zeros(1)
     triples = mix((h[:-2] * _S + h[1:-1]) * _S + h[2:]) if len(h) > 2 else h[:0]

@@ -73,8 +73,6 @@ class Hashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-#: The word hashes of a Python worker, shared by the operators that run in it.
-HASHES = Hashes()
 _turn: dict = {"of": None, "forget": None}
 
 
@@ -104,6 +102,41 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+_FACTOR, _STEP, _PIECE = 0x9E3779B97F4A7C15, 4096, 1 << 20
+_POWERS = np.cumprod(np.full(_STEP, _FACTOR, np.uint64))
+#: Of each byte its value in a hash: 0 for white space.
+_VALUES = np.where(np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)]), 0, np.arange(1, 257)).astype(np.uint64)
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of a text's words, in order, without a Python object for each."""
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    if len(raw) <= _PIECE:
+        return _word_hashes(raw)
+    # long texts piece by piece, cut at white space
+    blanks, out, start = np.append(np.flatnonzero(_VALUES[raw] == 0), len(raw)), [], 0
+    while start < len(raw):
+        stop = int(blanks[max(0, min(np.searchsorted(blanks, start + _PIECE), len(blanks) - 1))])
+        out.append(_word_hashes(raw[start : stop + 1]))
+        start = stop + 1
+    return np.concatenate(out)
+
+
+def _word_hashes(raw: np.ndarray) -> np.ndarray:
+    values = _VALUES[raw]
+    inside = values != 0
+    starts = np.flatnonzero(inside & ~np.append(False, inside[:-1])) if len(raw) else np.zeros(0, np.int64)
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    first = starts[0]
+    place = np.arange(first, len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
+    weights = _POWERS[place & (_STEP - 1)]
+    if (far := int(place.max()) // _STEP) > 0:
+        steps = np.cumprod(np.append(np.uint64(1), np.full(far, _POWERS[-1], np.uint64)))
+        weights = weights * steps[place // _STEP]
+    return mix(np.add.reduceat(values[first:] * weights, starts - first))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows_per_class: int, keep) -> DataFrame:
     """At most ``rows_per_class`` labelled documents of either class, by hash order.
 

@@ -31,20 +31,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HASHES, components, materialize, mix, release, take_turn, words_of
+from .common import components, materialize, mix, release, take_turn, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
 K = 240
 ROWS = 8
-_BATCH, _REGIONS = 128, 100_000  # texts, or their regions, whose darts are thrown together
+_BATCH, _HELD = 128, 500_000  # texts whose darts are thrown together; regions that are held until then
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted 64-bit regions of a text: shingles told apart by occurrence."""
-    h = HASHES.of(words_of(text)) if text else np.zeros(0, np.uint64)
+    h = word_hashes(text)
     if not len(h):
         return h
     n = max(1, len(h) - size + 1)
@@ -88,11 +88,9 @@ def signatures(regions: list[np.ndarray], k: int = K) -> np.ndarray:
             if not len(at):
                 break
             cell = owner[at] * k + (h % np.uint64(k)).astype(np.int64)
-            order = np.lexsort((time, cell))
-            first = order[np.append(True, cell[order][1:] != cell[order][:-1])]
-            cells = cell[first]
-            better = time[first] < times.ravel()[cells]
-            times.ravel()[cells[better]], ids.ravel()[cells[better]] = time[first][better], mix(h[first][better])
+            np.minimum.at(times.reshape(-1), cell, time)
+            first = times.reshape(-1)[cell] == time
+            ids.reshape(-1)[cell[first]] = mix(h[first])
         empty = (ids == _NONE).any(axis=1)
         pending = np.flatnonzero(empty)
         limit = np.where(empty, limit * 2, since)
@@ -119,18 +117,25 @@ def _sign(k: int, rows: int, size: int):
         held: list[np.ndarray] = []
 
         def flush() -> None:
-            if own:
-                for i, r, b in zip(own, held, bands_of(signatures(held, k), rows), strict=True):
-                    out[i] = np.append(len(r), b)
+            order = sorted(range(len(own)), key=lambda i: len(held[i]))  # texts of one size take as many turns
+            while order:
+                part = [order.pop()]
+                while order and len(part) < _BATCH and len(part) * len(held[part[0]]) < _HELD // 4:
+                    part.append(order.pop())
+                for i, b in zip(part, bands_of(signatures([held[i] for i in part], k), rows), strict=True):
+                    out[own[i]] = np.append(len(held[i]), b)
             own.clear()
             held.clear()
 
+        n_held = 0
         for i, text in enumerate(texts):
             if len(regions := shingles(text, size)):
                 own.append(i)
                 held.append(regions)
-                if len(own) >= _BATCH or sum(map(len, held)) >= _REGIONS:
+                n_held += len(regions)
+                if n_held >= _HELD:
                     flush()
+                    n_held = 0
         flush()
         release()
         return pd.Series(out, dtype=object)
@@ -194,9 +199,11 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, rows: i
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
     content = F.sha2(F.coalesce("text", F.lit("")), 256)
     signed = materialize(docs.select("doc_id", content.alias("content"), _sign(k, rows, size)("text").alias("bands")), "neardup-bands")
-    # equal texts: map-side combined minimum, then every document knows its representative
-    firsts = signed.where("bands IS NOT NULL").groupBy("content").agg(F.min("doc_id").alias("rep"))
-    known = materialize(signed.select("doc_id", "content", "bands").join(firsts, "content", "left"), "neardup-known")
+    # equal texts: map-side combined minimum, then every document knows its representative; texts
+    # of no word stay out of the join, and what it meets is written, so that a text of many copies is split
+    worded = signed.where("bands IS NOT NULL")
+    firsts = materialize(worded.groupBy("content").agg(F.min("doc_id").alias("rep")), "neardup-firsts")
+    known = materialize(worded.join(firsts, "content"), "neardup-known")
     # the first number is the weight: similar texts have similar weights
     reps = known.where("doc_id = rep").select("doc_id", F.get("bands", F.lit(0)).alias("n"), F.posexplode(F.slice("bands", 2, k // rows)).alias("band", "key"))
     # the head of a bucket is the member that meets most others in all its buckets: of copies
@@ -228,7 +235,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, rows: i
         more = _verified(again, docs, size, similarity, "neardup-again").where("similar").select("src", "dst")
         if not more.isEmpty():
             found = components(edges.union(more), "neardup-cc2")
-    own = known.select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
+    own = known.select("doc_id", "rep").unionAll(signed.where("bands IS NULL").select("doc_id", F.col("doc_id").alias("rep")))
     own = own.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"))
     own = own.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     return own.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("is_first"))
