@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, labelled_sample, mix, release, take_turn, word_hashes, words_of
+from .common import class_weights, crc_mod, labelled_sample, mix, release, take_turn, without, word_hashes, words_of
 
 ROWS_PER_CLASS = 4000
 THRESHOLD = 0.3
@@ -136,10 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     rows = sample.mapInPandas(_describe, "doc_id long, label int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
     if not len(rows):
         return fit(np.zeros((0, len(STATISTICS))), np.zeros(0))
-    share = {r["quality"]: r["count"] for r in labels.where(keep & F.col("quality").isin(0, 1)).groupBy("quality").count().collect()}
     y = rows["label"].to_numpy(float)
-    weight = np.array([share.get(v, 1) / max(1, (y == v).sum()) for v in y])
-    return fit(np.stack(rows["x"].to_numpy()), y, weight / weight.mean())
+    return fit(np.stack(rows["x"].to_numpy()), y, class_weights(labels, "quality", keep, y))
 
 
 def _score(model: Trees):
@@ -155,6 +153,6 @@ def _score(model: Trees):
 
 
 def score(docs: DataFrame, model: Trees) -> DataFrame:
-    """``docs`` with quality ``score`` and ``predicted``."""
-    out = docs.withColumn("score", _score(model)(F.col("text")))
-    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    """``docs`` with quality ``score`` and ``predicted``; columns of these names give way."""
+    rows = without(docs, "score", "predicted").select(F.struct("*").alias("row"), _score(model)(F.col("text")).alias("score"))
+    return rows.select("row.*", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -41,10 +41,9 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def added(docs: DataFrame, *names: str) -> None:
-    """Fails if ``docs`` has a column that an operator is about to add."""
-    if clash := {c.lower() for c in docs.columns} & set(names):
-        raise ValueError(f"the table has columns of the names that are added: {sorted(clash)}")
+def without(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` but for its columns of names that an operator is about to add."""
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names])
 
 
 def crc_mod(doc_id, n: int):
@@ -157,6 +156,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows_per_cl
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
 
+def class_weights(labels: DataFrame, column: str, keep, of: np.ndarray) -> np.ndarray:
+    """Weights that bring a sample with labels ``of`` back to the classes' shares of all labels."""
+    share = {r["v"]: r["n"] for r in labels.where(keep & F.col(column).isin(0, 1)).groupBy(F.col(column).cast("int").alias("v")).agg(F.count("*").alias("n")).collect()}
+    out = np.array([share.get(int(v), 1) / max(1, int((of == v).sum())) for v in of], float)
+    return out / out.mean() if len(out) else out
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of ``edges(src, dst)``: (id, label), label the least id.
 

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, words_of
+from .common import class_weights, labelled_sample, words_of
 
 ROWS_PER_CLASS = 1500
 MIN_WORDS = 50
@@ -155,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     rows = rows[rows["x"].map(len) > 0]
     x = [np.asarray(v, float).reshape(-1, N_FEATURES) for v in rows["x"]]
     y = [np.full(len(v), label) for v, label in zip(x, rows["label"], strict=True)]
-    return fit(x, y, np.ones(len(x)))
+    return fit(x, y, class_weights(labels, "quality", F.lit(True), rows["label"].to_numpy()))
 
 
 def _label(field: Field, content_share: float):

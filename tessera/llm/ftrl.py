@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, crc_mod, labelled_sample, mix
+from .common import Hashes, crc_mod, labelled_sample, mix, without
 
 BITS = 20
 ROWS_PER_CLASS = 3000
@@ -116,7 +116,7 @@ class Scorer:
         return out
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(rows: list[np.ndarray], labels: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """(coordinates, weights, bias) of the non-zero part of the model."""
     size = (1 << BITS) + 1  # the last coordinate is the bias, without L1
     z, n = np.zeros(size), np.zeros(size)
@@ -129,13 +129,14 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndar
         w[np.abs(zi) <= l1[at]] = 0.0
         return w
 
+    times = np.ones(len(labels)) if times is None else times
     if len(labels) and 0 < labels.mean() < 1:
         for epoch in range(EPOCHS):
             for i in np.random.default_rng(epoch).permutation(len(labels)):
                 at = np.append(rows[i], size - 1)
                 w = weight(at)
                 p = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35)))
-                g = p - labels[i]
+                g = (p - labels[i]) * times[i]
                 sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
                 z[at] += g - sigma * w
                 n[at] += g * g
@@ -153,12 +154,19 @@ def _featurise(frames):
 
 def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS):
     modulus, held = HELD_OUT
-    sample = labelled_sample(docs, labels, "toxic", rows_per_class, crc_mod("doc_id", modulus) != held)
+    keep = crc_mod("doc_id", modulus) != held
+    sample = labelled_sample(docs, labels, "toxic", rows_per_class, keep)
+    # above the bound the classes are sampled apart; each weighs what it does among all labels
+    known = labels.where(keep & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("v"))
+    share = {r["v"]: r["n"] for r in known.groupBy("v").agg(F.count("*").alias("n")).collect()}
+    weigh = {v: n / min(n, rows_per_class) for v, n in share.items()}
+    mean = sum(share.values()) / max(1, sum(min(n, rows_per_class) for n in share.values()))
     rows = sample.mapInPandas(_featurise, "doc_id long, label int, f array<int>")
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id", kind="stable")
-        at, weights, bias = fit(pdf["f"].tolist(), pdf["label"].to_numpy(float))
+        y = pdf["label"].to_numpy(float)
+        at, weights, bias = fit(pdf["f"].tolist(), y, np.array([weigh.get(int(v), mean) / mean for v in y]))
         return pd.DataFrame({"at": [at], "weights": [weights], "bias": [bias]})
 
     # the bounded sample is learned in one task; the driver gets the non-zero weights alone
@@ -181,6 +189,6 @@ def _score(model):
 
 
 def score(docs: DataFrame, model) -> DataFrame:
-    """``docs`` with toxicity ``score`` and ``predicted``."""
-    out = docs.withColumn("score", _score(model)(F.col("text")))
-    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    """``docs`` with toxicity ``score`` and ``predicted``; columns of these names give way."""
+    rows = without(docs, "score", "predicted").select(F.struct("*").alias("row"), _score(model)(F.col("text")).alias("score"))
+    return rows.select("row.*", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

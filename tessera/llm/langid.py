@@ -23,10 +23,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, without
 
 ROWS_PER_LANGUAGE = 1500
 SIZES = (5, 4, 3, 2)
+SALTS = 64
 LEAST = 2
 TEMPER = 25.0
 HELD_OUT = (4, 2)
@@ -105,10 +106,14 @@ class Model:
 
 def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     modulus, held = HELD_OUT
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
+    # first within salted parts of a language, then among what is left of them: the same rows
+    salt = F.crc32(F.col("doc_id").cast("string")) % SALTS
+    parts, order = (Window.partitionBy("lang", *by).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id") for by in (["salt"], []))
     ids = (
         docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", modulus) != held))
-        .select("doc_id", "lang")
+        .select("doc_id", "lang", salt.alias("salt"))
+        .withColumn("r", F.row_number().over(parts))
+        .where(F.col("r") <= rows_per_language)
         .withColumn("r", F.row_number().over(order))
         .where(F.col("r") <= rows_per_language)
         .select("doc_id", "lang")
@@ -133,7 +138,8 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``."""
+    """``docs`` with ``lang_pred`` and ``score``; columns of these names give way."""
+    docs = without(docs, "lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(texts: pd.Series) -> pd.DataFrame:
@@ -141,4 +147,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         return pd.DataFrame({"lang_pred": pd.Series([r[0] for r in rows], dtype=object), "score": pd.Series([r[1] for r in rows], dtype=float)})
 
     got = F.pandas_udf(run, "lang_pred string, score double")(F.col("text"))
-    return docs.withColumn("_p", got).select(*docs.columns, "_p.lang_pred", "_p.score")
+    return docs.select(F.struct("*").alias("row"), got.alias("p")).select("row.*", "p.lang_pred", "p.score")

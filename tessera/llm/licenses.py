@@ -18,8 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import without
+
 #: A line that only states a copyright, in lower case; fixed value.
-COPYRIGHT_LINE = r"^[ \t]*(copyright|\(c\)|©|all rights reserved)"
+COPYRIGHT_LINE = r"^[ \t#*/;%-]*(copyright|\(c\)|©|all rights reserved)"
 #: (pattern, replacement) on squeezed lower-case lines, in this order; fixed values.
 SPELLINGS = [
     (r"licenc", "licens"),
@@ -101,18 +103,19 @@ def known(spark: SparkSession, texts=None, notices=None) -> DataFrame:
 
 
 def scan(docs: DataFrame, texts=None, notices=None) -> DataFrame:
-    """``docs`` with digest, license (of the whole text), notice_lines and notices (sorted)."""
+    """``docs`` with digest, license (of the whole text), notice_lines and notices (sorted);
+    columns of these names give way."""
+    docs = without(docs, "digest", "license", "notice_lines", "notices")
     table = known(docs.sparkSession, texts, notices)
     of_line = {r["digest"]: r["license"] for r in table.where("kind = 'notice'").collect()}  # fixed and small
     pairs = F.create_map(*[F.lit(x) for kv in sorted(of_line.items()) for x in kv]) if of_line else None
-    cols = docs.columns
-    rows = docs.withColumn("_forms", canonical_lines(F.col("text")))
+    rows = docs.select(F.struct("*").alias("_row"), canonical_lines(F.col("text")).alias("_forms"))
     named = (lambda x: pairs[F.sha2(x, 256)]) if of_line else (lambda x: F.lit(None).cast("string"))
     rows = rows.withColumn("_hits", F.filter(F.transform("_forms", named), lambda x: x.isNotNull()))
     rows = rows.withColumn("_digest", _digest(F.array_join("_forms", " ")))
     of_text = table.where("kind = 'text'").select(F.col("digest").alias("_d"), F.col("license").alias("_license"))
     return rows.join(F.broadcast(of_text), F.col("_digest") == F.col("_d"), "left").select(
-        *cols,
+        "_row.*",
         F.col("_digest").alias("digest"),
         F.col("_license").alias("license"),
         F.size("_hits").cast("long").alias("notice_lines"),

@@ -157,19 +157,18 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     (``n_chars``, if there, follows the text). Documents that are not taken go."""
     known, takes = mix(docs, **how)
     keys = ["source", "doc_id", "text_md5"]
-    part = F.struct("copy", "of_pass", "start", "stop", "size")
+    part = F.struct("copy", "of_pass", "start", "stop", "size", "first_slot")
     lists = known.where("size > 0").join(takes, ["number", "offset"]).groupBy(*keys).agg(F.collect_list(part).alias("takes"))
     lists = lists.withColumnsRenamed({k: f"{k}_" for k in keys})
-    cols = docs.columns
-    rows = docs.withColumn("text_md5", F.md5(F.coalesce("text", F.lit(""))))
-    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1))))
+    rows = docs.select(F.struct("*").alias("row"), "source", "doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))).drop("text")
     same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
     rows = rows.join(lists, same[0] & same[1] & same[2])
     rows = rows.withColumn("take", F.explode(F.filter("takes", lambda x: x["copy"] == F.col("copy"))))
-    chunks = F.regexp_extract_all("text", F.lit(rf"{WORD}[\x20\x09-\x0D]*"), F.lit(0))
+    chunks = F.regexp_extract_all("row.text", F.lit(rf"{WORD}[\x20\x09-\x0D]*"), F.lit(0))
     cut = F.array_join(F.slice(chunks, F.col("take.start") + 1, F.col("take.stop") - F.col("take.start")), "")
     whole = F.col("take.stop") - F.col("take.start") == F.col("take.size")
-    rows = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
-    if "n_chars" in cols:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*cols)
+    # each file is laid out by the schedule, and holds a part of every stretch of it
+    rows = rows.withColumn("cut", F.when(whole, F.col("row.text")).otherwise(cut)).sortWithinPartitions("take.first_slot", *keys)
+    made = {"text": F.col("cut"), "n_chars": F.length("cut").cast("long")}
+    return rows.select(*[made.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

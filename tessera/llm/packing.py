@@ -16,6 +16,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ _ENCODED = T.StructType(
 PIECES = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
 )
-_BATCH = 500
+_BATCH, _BYTES = 500, 64 << 20  # texts, and bytes of texts, that are encoded together
 
 
 def _encode(path: str | None):
@@ -47,8 +48,11 @@ def _encode(path: str | None):
         bpe, part, before = encoder(path), TaskContext.get().partitionId(), 0
         end = np.array([END_ID], np.uint16).tobytes()
         for whole in batches:
-            for at in range(0, whole.num_rows, _BATCH):
-                rows = whole.slice(at, _BATCH)
+            sizes, at = pc.fill_null(pc.binary_length(whole.column(1)), 0).to_numpy(zero_copy_only=False), 0
+            while at < whole.num_rows:
+                n_rows = max(1, int(np.searchsorted(np.cumsum(sizes[at : at + _BATCH]), _BYTES, side="right")))
+                rows = whole.slice(at, n_rows)
+                at += n_rows
                 ids = [x.tobytes() + end for x in bpe.encode_batch(rows.column(1).to_pylist())]
                 n = np.array([len(x) // 2 for x in ids], np.int64)
                 starts = before + np.cumsum(n) - n

@@ -31,7 +31,9 @@ def _classes() -> tuple[str, str]:
 
 _L, _N = _classes()
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
-_UNUSUAL = re.compile("[^\n\t\r -~¡-įı-ɏ]|<\\|")
+#: letters whose small form lies beyond, though they do not (U+0130 and some capitals of U+0180 to U+024F)
+_FAR = "".join(c for c in map(chr, range(0x80, _TOP)) if max(map(ord, c.lower())) >= _TOP or len(c.lower()) > 1)
+_UNUSUAL = re.compile(rf"[^\n\t\r -~¡-ɏ]|[{_FAR}]|<\|")
 
 
 class WordBpe:

@@ -47,9 +47,10 @@ def _everything(docs, labels):
 
 def test_odd_rows_and_empty_tables(spark, odd, labels):
     for out in _everything(odd, labels):
-        assert out.count() == len(ODD)
+        rows = [r.asDict() for r in out.collect()]
+        assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 for r in rows if isinstance(r.get("score"), float)) and all(r.get("predicted", 0) in (0, 1) for r in rows)
     for out in _everything(odd.limit(0), labels.limit(0)):
-        assert out.count() == 0
+        assert out.collect() == []
     assert neardup.classes(odd).count() == 5 and neardup.classes(odd.limit(0)).count() == 0
     assert packing.pack(odd).groupBy("doc_id").count().count() == 6 and packing.pack(odd.limit(0)).count() == 0
     assert mixing.mixed(odd).columns == odd.columns and mixing.mixed(odd.limit(0)).count() == 0
@@ -239,3 +240,28 @@ def test_scorer_survives_a_full_cache():
     scorer.LIMIT = 60
     want = [float(np.isin(ftrl.features(t), at).sum()) for t in texts]
     assert np.allclose(scorer.raw(texts), want)
+
+
+def test_columns_of_the_names_that_are_added(spark, labels):
+    rows = [(i, "some plain words of a text " * 20 + str(i), "en", "s", 9, 7.0, 5, "x") for i in range(1, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, predicted int, n_cut string")
+    docs = docs.select("*", *[F.lit("own").alias(c) for c in ("digest", "license", "notices", "text_md5", "copy", "take", "row", "lang_pred")])
+    for out in _everything(docs, labels):
+        assert len(set(out.columns)) == len(out.columns) and len(out.collect()) == 5
+    mixed = mixing.mixed(docs)
+    assert mixed.columns == docs.columns and {(r.copy_, r.score) for r in mixed.withColumnRenamed("copy", "copy_").collect()} == {("own", 7.0)}
+
+
+def test_ids_of_every_character_below_the_first_unusual_one():
+    bpe = tokens.encoder()
+    texts = [f"{chr(c)}li ve a{chr(c)}b {chr(c)}{chr(c)}1 'S" for c in range(0x20, 0x260)]
+    for text, ids in zip(texts, bpe.encode_batch(texts), strict=True):
+        assert ids.tolist() == bpe.whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_large_components_take_part(spark):
+    v = spark.createDataFrame([(0, [5e6, 1.0]), (50, [1.0, 1.0]), (7, [2.0, float("inf")]), (8, [-3e6, 2.0])], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in bitsliced.top_k(v, F.col("vec_id") % 50 == 0).collect()}
+    q = lambda *x: [int(256 * c // 1) for c in x]
+    dot = lambda a, b: sum(x * y for x, y in zip(q(*a), q(*b), strict=True))
+    assert got[50, 1] == (0, dot((1.0, 1.0), (5e6, 1.0))) and got[50, 2] == (8, dot((1.0, 1.0), (-3e6, 2.0))) and got[0, 2] == (8, dot((5e6, 1.0), (-3e6, 2.0)))
