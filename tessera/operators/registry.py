@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import written
+
 
 def gate_fold(assignments: DataFrame, start: float = 0.55, most: float = 0.92, half: float = 150.0) -> DataFrame:
     """Commit assignments in order under the rising novelty threshold.
@@ -66,20 +68,32 @@ def greedy_match(pairs: DataFrame, floor: float = 0.75) -> DataFrame:
     return pairs.groupBy("run").applyInPandas(match, "run string, a long, b long, score double")
 
 
-def closure(spark, merges: DataFrame) -> DataFrame:
-    """(loser, winner) chains followed to their ends: (concept, winner) of each loser.
-
-    Min-distance doubling by joins; a cycle ends at its least member."""
-    step = merges.select(F.col("loser").alias("concept"), "winner").groupBy("concept").agg(F.min("winner").alias("winner"))
-    for _ in range(32):
-        far = step.select(F.col("concept").alias("winner"), F.col("winner").alias("end"))
-        new = step.join(far, "winner", "left").select("concept", F.when(F.col("end").isNull() | (F.col("end") == F.col("concept")), F.col("winner")).otherwise(F.col("end")).alias("winner"))
-        new = new.cache()
-        moved = new.join(step.withColumnRenamed("winner", "old"), "concept").where("winner <> old").limit(1).count()
-        step = new
-        if not moved:
-            break
-    return step
+def closure(spark, merges: DataFrame, usage: DataFrame | None = None) -> DataFrame:
+    """The end of every merged concept: (concept, winner) of all but the winners.
+
+    Merges (loser, winner) unite concepts whichever way they point, so that a concept merged
+    into two, and a cycle, end in one group. Of a group the most used concept of
+    ``usage(concept, n)`` wins; without it, or between equals, one that is never a loser, then
+    the least. Least labels spread along the merges and jump over the labels found so far, by
+    joins, until none moves; every round is written out, so that plans and memory stay small."""
+    pairs = merges.select("loser", "winner").where("loser IS NOT NULL AND winner IS NOT NULL")
+    both = written(pairs.toDF("src", "dst").union(pairs.select("winner", "loser")).distinct(), "closure-merges")
+    labels = written(both.groupBy(F.col("src").alias("id")).agg(F.least("src", F.min("dst")).alias("label")), "closure")
+    moved = True
+    while moved:
+        near = both.join(labels.toDF("src", "near"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("near").alias("near"))
+        least = labels.join(near, "id").withColumn("near", F.least("label", "near"))
+        far = least.join(labels.toDF("near", "far"), "near").select("id", F.col("label").alias("old"), F.least("near", "far").alias("label"))
+        new = written(far, "closure")
+        moved, labels = not new.where("label <> old").isEmpty(), new.select("id", "label")
+    lost = pairs.where("loser <> winner").select(F.col("loser").alias("id")).distinct().withColumn("lost", F.lit(1))
+    ranked = labels.join(lost, "id", "left")
+    if usage is not None:
+        ranked = ranked.join(usage.select(F.col("concept").alias("id"), F.col("n").alias("used")), "id", "left")
+    used = F.coalesce("used", F.lit(0)) if usage is not None else F.lit(0)
+    order = F.struct((-used).alias("used"), F.coalesce("lost", F.lit(0)).alias("lost"), "id")
+    best = ranked.groupBy("label").agg(F.min_by("id", order).alias("winner"))
+    return labels.join(best, "label").where("id <> winner").select(F.col("id").alias("concept"), "winner")
 
 
 def trailing(events: DataFrame, value: str, rows: int, by: str = "run", order=("ts", "event_id")) -> Column:

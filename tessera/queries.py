@@ -369,12 +369,12 @@ def merge_repoint(spark, d):
 
 @query()
 def registry_fold(spark, d):
-    v = A.vectors(spark, d).select((F.col("id") % 500).alias("key"), "v")
+    v = A.vectors(spark, d).select((F.col("id") % 500).alias("key"), "id", "v")
     lines = A.table(spark, d, "lineitem").select(
         F.col("l_suppkey").cast("string").alias("run"), F.col("l_orderkey").alias("ord"), F.col("l_orderkey").alias("section"), F.col("l_partkey").cast("string").alias("concept"),
         (F.col("l_quantity") / 50).alias("confidence"), F.col("l_extendedprice").alias("weight"), (F.col("l_partkey") % 500).alias("key"),
     )
-    first = v.groupBy("key").agg(F.first("v").alias("embedding"))
+    first = v.groupBy("key").agg(F.min_by("v", "id").alias("embedding"))
     return G.gate_fold(lines.join(first, "key").drop("key"))
 
 
@@ -386,7 +386,7 @@ def greedy_match(spark, d):
     return G.greedy_match(pairs.select(F.lit("r").alias("run"), "a", "b", "score"), 0.2)
 
 
-@query()
+@query("SELECT c_custkey AS concept, CAST(1 AS BIGINT) AS winner FROM customer WHERE c_custkey > 1")
 def closure(spark, d):
     merges = A.table(spark, d, "customer").where("c_custkey > 1").select(F.col("c_custkey").alias("loser"), F.floor(F.col("c_custkey") / 2).alias("winner"))
     return G.closure(spark, merges)

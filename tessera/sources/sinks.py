@@ -4,14 +4,42 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
+import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def replace_partition(df: DataFrame, path: str, by: list[str]) -> None:
-    """Overwrite only the partitions that ``df`` has (a source, or a run's edges of a kind)."""
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the folder that driver and executors share (``spark.checkpoint.dir``) and
+    read back: lineage is cut. Without the setting, only a local master has a folder of its own."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"file://{tempfile.gettempdir()}/checkpoints"
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def replace_partition(df: DataFrame, path: str, by: list[str], rebuilt: list[dict] | None = None) -> None:
+    """Overwrite only the partitions that ``df`` has (a source, or a run's edges of a kind). Of
+    the partitions named in ``rebuilt``, {column: value}, also those that have no rows now go;
+    a null value names the partition of null."""
+    spark = df.sparkSession
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    for part in rebuilt or []:
+        same = [F.col(c).eqNullSafe(F.lit(part[c])) for c in by]
+        if df.where(reduce(lambda x, y: x & y, same)).isEmpty():
+            jvm = spark._jvm
+            default = "__HIVE_DEFAULT_PARTITION__"
+            folder = "/".join([path, *(f"{c}={default if part[c] is None else part[c]}" for c in by)])
+            at = jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -76,9 +76,17 @@ def session_memory(turns: DataFrame, budget: int = 12_000) -> DataFrame:
 
 
 def keyed_sink(keys: list[str], path: str):
-    """A foreachBatch writer that a replayed batch cannot repeat: one folder a batch."""
+    """A foreachBatch writer that keeps a key once over all batches: rows whose key an earlier
+    batch has written are dropped, and a replayed batch overwrites its own folder."""
 
     def write(df: DataFrame, batch: int) -> None:
-        df.dropDuplicates(keys).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        new, spark = df.dropDuplicates(keys), df.sparkSession
+        jvm = spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            done = spark.read.schema(df.schema).option("basePath", path).parquet(f"{path}/batch=*").where(F.col("_metadata.file_path").rlike("/batch=[0-9]+/"))
+            earlier = F.regexp_extract(F.col("_metadata.file_path"), "/batch=([0-9]+)/", 1).cast("long") < batch
+            new = new.join(done.where(earlier).select(*keys).distinct(), keys, "left_anti")
+        new.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
     return write

@@ -71,6 +71,12 @@ def test_registry(spark):
     assert got == {(1, "x"): 1.0, (2, "y"): 1.0, (3, "y"): 0.5, (3, "x"): 0.5}
     m = spark.createDataFrame([(3, 2), (2, 1), (5, 4)], "loser long, winner long")
     assert rows(registry.closure(spark, m)) == [(2, 1), (3, 1), (5, 4)]
+    both = spark.createDataFrame([(3, 1), (3, 2)], "loser long, winner long")  # two winners of one loser
+    assert rows(registry.closure(spark, both)) == [(2, 1), (3, 1)]
+    ring = spark.createDataFrame([(7, 8), (8, 9), (9, 7)], "loser long, winner long")
+    assert rows(registry.closure(spark, ring)) == [(8, 7), (9, 7)]
+    assert rows(registry.closure(spark, ring, spark.createDataFrame([(9, 4), (8, 2)], "concept long, n long"))) == [(7, 9), (8, 9)]
+    assert rows(registry.closure(spark, m.limit(0))) == []
     pairs = spark.createDataFrame([("r", 1, 1, 0.9), ("r", 1, 2, 0.95), ("r", 2, 2, 0.94), ("r", 2, 1, 0.7)], "run string, a long, b long, score double")
     assert rows(registry.greedy_match(pairs)) == [("r", 1, 2, 0.95)]
 
@@ -131,3 +137,31 @@ def test_streams(spark, tmp_path):
     assert rows(spark.table("trail")) == [(0, 4, 1 / 3), (1, 4, 0.0)]
     assert sorted((r.event, r.n) for r in spark.table("win").collect()) == [("error", 2), ("view", 6)]
     assert monitor.evict(["aaaa", "bb", "c"], 5) == ["bb", "c"] and monitor.evict(["abcdef"], 3) == ["def"]
+
+
+def test_rebuilt_partition_without_rows_goes(spark, tmp_path):
+    from tessera.sources import sinks
+
+    path = f"{tmp_path}/edges"
+    sinks.replace_partition(spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "kind string, x int"), path, ["kind"])
+    new = spark.createDataFrame([("a", 5)], "kind string, x int")
+    sinks.replace_partition(new, path, ["kind"], [{"kind": "a"}, {"kind": None}])
+    assert sorted((r.kind, r.x) for r in spark.read.parquet(path).collect()) == [("a", 5), ("b", 2)]
+
+
+def test_keyed_sink_keeps_a_key_once(spark, tmp_path):
+    from tessera.streaming import monitor
+
+    write = monitor.keyed_sink(["k"], f"{tmp_path}/done")
+    for batch, ks in ((0, [1, 2, 2]), (1, [2, 3]), (1, [2, 3]), (0, [1, 2])):
+        write(spark.createDataFrame([(k,) for k in ks], "k long"), batch)
+    assert sorted(r.k for r in spark.read.parquet(f"{tmp_path}/done").select("k").collect()) == [1, 2, 3]
+
+
+def test_pairs_of_vectors(spark):
+    from tessera.operators import retrieval
+
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0]), (4, [1.0, 0.0, 0.0]), (5, None), (6, [0.0, 0.0])], "id long, v array<double>")
+    assert [(r.a, r.b, r.score) for r in retrieval.similar_pairs(v, 0.5).collect()] == [(1, 2, 0.995037)]
+    assert sorted((r.a, r.b) for r in retrieval.pairs_between(v.where("id < 2"), v, 0.5, rows=1).collect()) == [(1, 1), (1, 2)]
+    assert retrieval.similar_pairs(v.limit(0), 0.5).collect() == []
