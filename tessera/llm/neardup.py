@@ -12,8 +12,9 @@ waits twice as long.
 Equal texts are one class member from the start. Representatives of distinct texts are
 joined on bands of ``ROWS`` coordinates: in each bucket all meet one head, and those that
 fail against it meet, by an exact prefix filter on rare shingles, all members of their
-buckets that are not yet of their class, so that no similar pair of a bucket is lost, and
-neither a large group nor a common passage is expanded into all pairs. Every pair is verified on the exact weighted Jaccard similarity, at least ``SIMILARITY``.
+buckets that are not yet of their class. Where these are many, stars with other heads
+unite classes first. So no similar pair of a bucket is lost, and neither a large group nor a
+common passage is expanded into all pairs. Every pair is verified on the exact weighted Jaccard similarity, at least ``SIMILARITY``.
 A class is a connected component of verified pairs; its id is its least ``doc_id``.
 
 Texts that are null or have no word are near nothing: each is a class of its own. Rows
@@ -37,6 +38,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 K = 240
 ROWS = 8
+#: Stars of a region go on while it has more pairs of unlike labels a row than this, and while
+#: a round unites at least one label in ``YIELD``. ``SALTS`` spread the rows of one label.
+PAIRS_PER_ROW, YIELD, SALTS = 2, 50, 16
 _BATCH, _HELD = 128, 500_000  # texts whose darts are thrown together; regions that are held until then
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -166,9 +170,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, floor: float, name:
     return materialize(rows.select("src", "dst", similar.alias("similar")), f"{name}-verified")
 
 
-def _by_rare_regions(docs: DataFrame, near: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Candidate pairs (src, dst) of ``near(doc_id, label, open)``, one of them open and
-    not yet of one class: the exact prefix filter. Two texts at the similarity s share one
+def _rare_regions(docs: DataFrame, near: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The rows by which the texts of ``near(doc_id, label, open)`` meet: the exact prefix filter. Two texts at the similarity s share one
     of the n - ceil(s n) + 1 regions that come first in any fixed order; here the rarest do,
     so that texts which share no more than a common passage do not meet."""
     parts = F.pandas_udf(lambda texts: pd.Series([shingles(t, size).view(np.int64) for t in texts], dtype=object), "array<long>")
@@ -182,16 +185,81 @@ def _by_rare_regions(docs: DataFrame, near: DataFrame, size: int, similarity: fl
     rows = rows.withColumns({"m": F.count("*").over(per), "r": F.row_number().over(per.orderBy("c", "region"))})
     rows = rows.withColumn("r", F.col("r") + F.col("n") - F.col("m"))
     rows = rows.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - F.lit(1e-9)) + 1)
-    rows = materialize(rows.select("doc_id", "label", "open", "n", "region", "r"), "neardup-prefixes")
-    other = rows.select("region", *[F.col(c).alias(f"o_{c}") for c in ("doc_id", "label", "open", "n", "r")])
+    return materialize(rows.select("doc_id", "label", "open", "n", "region", "r"), "neardup-prefixes")
+
+
+def _may_be_near(similarity: float):
+    """Whether the lengths, and what is left after a common region of the prefixes, allow the similarity."""
     alike = F.least("n", "o_n") >= F.greatest("n", "o_n") * F.lit(similarity - 1e-12)
-    # after their first common region enough must be left for the overlap that the similarity asks for
     overlap = F.ceil((F.col("n") + F.col("o_n")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-9))
-    alike = alike & (1 + F.least(F.col("n") - F.col("r"), F.col("o_n") - F.col("o_r")) >= overlap)
-    once = F.col("o_open").isNull() | (F.col("doc_id") < F.col("o_doc_id"))
-    own = rows.where("open").withColumnRenamed("region", "own")
-    got = own.join(other, (F.col("own") == F.col("region")) & (F.col("label") != F.col("o_label")) & alike & once)
-    return materialize(got.select(F.least("doc_id", "o_doc_id").alias("src"), F.greatest("doc_id", "o_doc_id").alias("dst")).distinct(), "neardup-pairs")
+    return alike & (1 + F.least(F.col("n") - F.col("r"), F.col("o_n") - F.col("o_r")) >= overlap) & (F.col("open") | F.col("o_open"))
+
+
+def _pair(a: str, b: str) -> list:
+    return [F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")]
+
+
+def _leading(rows: DataFrame) -> DataFrame:
+    """Of each region whose rows are of several labels, one open: its most frequent label
+    and how many pairs of unlike labels it has."""
+    per = rows.groupBy("region", "label").agg(F.count("*").alias("c"), F.max("open").alias("o"))
+    made = per.groupBy("region").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("within"), F.count("*").alias("labels"), F.max("o").alias("o"))
+    return made.where("labels > 1 AND o").select("region", F.col("m.label").alias("lead"), ((F.col("all") * F.col("all") - F.col("within")) / 2).alias("unlike"))
+
+
+def _relabel(rows: DataFrame, merges: DataFrame) -> DataFrame:
+    """``rows`` with the labels that ``merges(id, label)`` unites; each merge is copied over
+    salts, so that the rows of a hot label spread over tasks."""
+    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt")
+    new = merges.select(F.col("id").alias("label"), F.col("label").alias("new"), salts)
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    got = salted.join(new, ["label", "salt"], "left").withColumn("label", F.coalesce("new", "label"))
+    return got.select(*rows.columns)
+
+
+def _star_rounds(rows: DataFrame, docs: DataFrame, size: int, similarity: float) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` with fewer labels, and the verified pairs (src, dst, similar), None if none.
+
+    While regions have many pairs of unlike labels, those of other labels meet one head
+    of the region, another in each round; what is found alike becomes one label. A large group of
+    near copies so ends in one label before all pairs of unlike labels are compared. It
+    stops when few such pairs are left or a round unites little: no pair is lost, since
+    what is still of unlike labels meets in ``_unlike``."""
+    tried, turn = None, 0
+    while True:
+        turn += 1
+        lead = materialize(_leading(rows), f"neardup-lead-{turn}")
+        unlike = lead.agg(F.sum("unlike").alias("s")).first()["s"] or 0
+        if unlike <= PAIRS_PER_ROW * rows.count():
+            return rows, tried
+        here = rows.join(lead.select("region"), "region")
+        order = F.xxhash64("doc_id", F.lit(turn))
+        heads = here.groupBy("region").agg(F.min(F.struct(order.alias("o"), *[F.col(c).alias(f"o_{c}") for c in ("doc_id", "label", "open", "n", "r")])).alias("h"))
+        met = here.join(heads.select("region", "h.*"), "region").where((F.col("label") != F.col("o_label")) & F.coalesce(_may_be_near(similarity), F.lit(False)))
+        met = met.select(*_pair("doc_id", "o_doc_id"), *[f.alias(n) for f, n in ((F.least("label", "o_label"), "a"), (F.greatest("label", "o_label"), "b"))]).distinct()
+        met = materialize(met, f"neardup-met-{turn}")
+        if tried is not None:
+            met = met.join(tried.select("src", "dst"), ["src", "dst"], "left_anti")
+        checked = _verified(met.select("src", "dst"), docs, size, similarity, f"neardup-star-{turn}")
+        tried = checked if tried is None else tried.union(checked)
+        joined = met.join(checked.where("similar"), ["src", "dst"]).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        merges = components(joined, f"neardup-labels-{turn}")
+        united, of = merges.where("id <> label").count(), rows.select("label").distinct().count()
+        if united:
+            rows = materialize(_relabel(rows, merges), f"neardup-relabelled-{turn}")
+        if united * YIELD < of:
+            return rows, tried
+
+
+def _unlike(rows: DataFrame, similarity: float) -> DataFrame:
+    """All candidate pairs (src, dst) of unlike labels, one of them open. In a region one of the two
+    is not of its most frequent label, so that a large class does not meet itself."""
+    here = materialize(rows.join(_leading(rows).drop("unlike"), "region"), "neardup-unlike")
+    minor = here.where("label <> lead").drop("lead").withColumnRenamed("region", "own")
+    other = here.select("region", (F.col("label") != F.col("lead")).alias("o_minor"), *[F.col(c).alias(f"o_{c}") for c in ("doc_id", "label", "open", "n", "r")])
+    once = ~F.col("o_minor") | (F.col("doc_id") < F.col("o_doc_id"))
+    got = minor.join(other, (F.col("own") == F.col("region")) & (F.col("label") != F.col("o_label")) & _may_be_near(similarity) & once)
+    return materialize(got.select(*_pair("doc_id", "o_doc_id")).distinct(), "neardup-pairs")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
@@ -229,10 +297,12 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, rows: i
     if not left.isEmpty():
         near = placed.join(left.select("band", "key").distinct(), ["band", "key"], "left_semi").select("doc_id", "label").distinct()
         near = near.join(left.select("doc_id").distinct().withColumn("open", F.lit(True)), "doc_id", "left")
-        again = _by_rare_regions(docs, materialize(near, "neardup-near"), size, similarity)
-        again = again.join(tried.select("src", "dst"), ["src", "dst"], "left_anti")
-        again = again.join(tried.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_anti")
-        more = _verified(again, docs, size, similarity, "neardup-again").where("similar").select("src", "dst")
+        near = near.withColumn("open", F.coalesce("open", F.lit(False)))
+        rows, met = _star_rounds(_rare_regions(docs, materialize(near, "neardup-near"), size, similarity), docs, size, similarity)
+        seen = tried.select(*_pair("src", "dst"))
+        again = _unlike(rows, similarity).join(seen if met is None else seen.union(met.select("src", "dst")), ["src", "dst"], "left_anti")
+        more = _verified(again, docs, size, similarity, "neardup-again")
+        more = (more if met is None else more.union(met)).where("similar").select("src", "dst")
         if not more.isEmpty():
             found = components(edges.union(more), "neardup-cc2")
     own = known.select("doc_id", "rep").unionAll(signed.where("bands IS NULL").select("doc_id", F.col("doc_id").alias("rep")))

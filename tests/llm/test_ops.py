@@ -134,6 +134,42 @@ def _edit(rng, words, n):
     return out
 
 
+def _near_classes(texts):
+    """Brute force: the least member of each connected component of similar pairs."""
+    regions, root = [neardup.shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if neardup.similarity(regions[i], regions[j]) >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("pairs_per_row", [0, 2])
+def test_neardup_of_drifting_copies(spark, monkeypatch, pairs_per_row):
+    """Copies of copies, of which few are similar to one head: stars and the exact join link them all."""
+    monkeypatch.setattr(neardup, "PAIRS_PER_ROW", pairs_per_row)
+    rng = random.Random(11)
+    texts = []
+    for _ in range(4):
+        words = [f"w{rng.randrange(5000)}" for _ in range(120)]
+        for _ in range(30):
+            words = list(words)
+            words[rng.randrange(120)] = f"n{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    texts += [" ".join([f"p{i}" for i in range(60)] + [f"z{i}-{j}" for j in range(20)]) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = _near_classes(texts)
+    got = [r.class_id for r in neardup.classes(docs).orderBy("doc_id").collect()]
+    assert got == want and 4 <= len(set(want[:120])) < 20
+
+
 def test_neardup_brute_force(spark):
     rng = random.Random(4)
     base = [[f"w{rng.randrange(400)}" for _ in range(rng.randrange(8, 150))] for _ in range(25)]
