@@ -221,3 +221,14 @@ def repair_refs(refs: DataFrame, ids: DataFrame) -> DataFrame:
     tails = ids.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("id", ":"))), lambda i: F.array_join(F.slice(F.split("id", ":"), i, 99), ":"))).alias("ref"))
     got = refs.join(tails, "ref").groupBy("ref").agg(F.max(F.col("ref") == F.col("id")).alias("same"), F.count_distinct("id").alias("n"), F.min("id").alias("one"))
     return got.where("same OR n = 1").select("ref", F.when(F.col("same"), F.col("ref")).otherwise(F.col("one")).alias("id"))
+
+
+def second_pass(first: DataFrame, second: DataFrame, relevance: DataFrame, least: float = 0.35, unscored_boost: float = 0.5, bonus: float = 1.0) -> DataFrame:
+    """Merge two retrieval passes (query, id, score). What was judged under the gate in the first
+    pass stays out unless the second one looked it up (a score of ``bonus`` or more); what was
+    kept gains its relevance, or the default."""
+    judged = first.join(relevance, ["query", "id"], "left").withColumn("kept", F.coalesce("relevance", F.lit(1.0)) >= least)
+    rows = judged.select("query", "id", F.col("score").alias("s1"), "kept", "relevance").join(second.select("query", "id", F.col("score").alias("s2")), ["query", "id"], "full")
+    rows = rows.where(F.coalesce("kept", F.lit(True)) | (F.col("s2") >= bonus))
+    boost = F.when(F.col("kept"), F.coalesce("relevance", F.lit(unscored_boost))).otherwise(F.lit(0.0))
+    return rows.select("query", "id", (F.coalesce("s1", F.lit(0.0)) + F.coalesce("s2", F.lit(0.0)) + boost).alias("score"))

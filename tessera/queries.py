@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from . import adapters as A
 from .functions import scores, text
+from .operators import concepts as C
 from .operators import edges as E
 from .operators import registry as G
 from .operators import retrieval as R
 from .operators import signatures as S
+from .plans import hybrid as H
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -426,3 +428,198 @@ def sessions(spark, d):
     order = Window.partitionBy("run").orderBy("ts", "event_id")
     ev = A.events(spark, d).withColumn("new", F.coalesce((F.col("ts") > F.lag("ts").over(order) + F.expr("INTERVAL 6 HOUR")).cast("long"), F.lit(0)))
     return ev.withColumn("session", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("run", "session").agg(F.count("*").alias("events"))
+
+
+# Concepts have the ids of parts and of vectors; three vectors are the pages of a section.
+_NPMI = """one AS (SELECT concept, count(*) AS n FROM sig GROUP BY 1), two AS (
+  SELECT x.concept AS a, y.concept AS b, count(*) AS together FROM sig x JOIN sig y ON x.section = y.section AND x.concept < y.concept GROUP BY ALL HAVING count(*) >= 3),
+t AS (SELECT CAST(count(DISTINCT section) AS DOUBLE) AS total FROM sig),
+npmi AS (SELECT a, b, round(CASE WHEN together = total THEN 1.0 ELSE ln((together / total) / ((p.n / total) * (q.n / total))) / -ln(together / total) END, 4) AS npmi
+  FROM two JOIN one p ON p.concept = a JOIN one q ON q.concept = b CROSS JOIN t)"""
+_MATCHED = f"""WITH {_COS.format(n=100)}, {_FINE}, {_NPMI},
+seeds AS (SELECT query, id AS concept, score FROM cos WHERE score >= 0.2 QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 6),
+near AS (SELECT * FROM (SELECT a AS src, b AS dst, npmi FROM npmi WHERE npmi >= -0.1 UNION ALL SELECT b, a, npmi FROM npmi WHERE npmi >= -0.1)
+  QUALIFY row_number() OVER (PARTITION BY src ORDER BY npmi DESC, dst) <= 2),
+matched AS (SELECT * FROM (SELECT query, concept, score, NULL AS via FROM seeds UNION ALL SELECT query, dst, score * npmi * 0.5::DOUBLE, concept FROM seeds JOIN near ON src = concept)
+  QUALIFY row_number() OVER (PARTITION BY query, concept ORDER BY score DESC, via NULLS FIRST) = 1)"""
+_SIGNAL = f"""{_MATCHED}, scored AS (SELECT query, section, round(sum(score * weight), 6) AS score FROM matched JOIN sig USING (concept) GROUP BY ALL),
+signal AS (SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, section) AS INTEGER) AS "rank", section, score FROM scored QUALIFY "rank" <= 8)"""
+_FUSED = """l AS (
+  SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS r FROM cos QUALIFY r <= 8
+  UNION ALL SELECT query, id, row_number() OVER (PARTITION BY query, source ORDER BY score DESC, id) AS r FROM cos QUALIFY r <= 8),
+fused AS (SELECT query, id, id // 3 AS section, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score FROM l GROUP BY ALL),
+base AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS "rank" FROM (
+  SELECT * FROM fused QUALIFY row_number() OVER (PARTITION BY query, section ORDER BY score DESC, id) = 1) QUALIFY "rank" <= 8)"""
+
+
+def _page_section(c: str = "id"):
+    return F.floor(F.col(c) / 3).cast("long")
+
+
+def _matched(spark, d):
+    seeds = R.nearest(A.vector_queries(spark, d), A.vectors(spark, d), k=6, floor=0.2).select("query", F.col("id").alias("concept"), "score")
+    return C.match(seeds, E.co_occurrence(A.signatures(spark, d, fine=True), floor=-0.1))
+
+
+def _signal(spark, d):
+    return C.search(_matched(spark, d), A.signatures(spark, d, fine=True))
+
+
+@query(f"{_MATCHED} SELECT query, concept, round(score, 6) AS score, via FROM matched")
+def concept_match(spark, d):
+    return _matched(spark, d).withColumn("score", F.round("score", 6))
+
+
+@query(f"""{_SIGNAL}, ev AS (SELECT query, section, row_number() OVER (PARTITION BY query, section ORDER BY round(m.score * weight, 6) DESC, concept) AS r, concept
+  FROM matched m JOIN sig USING (concept) SEMI JOIN signal USING (query, section) QUALIFY r <= 8)
+SELECT query, "rank", section, score, string_agg(CAST(concept AS VARCHAR), ' ' ORDER BY r) AS evidence FROM signal JOIN ev USING (query, section) GROUP BY ALL""")
+def concept_signal(spark, d):
+    return _signal(spark, d).withColumn("evidence", F.array_join(F.transform("evidence", lambda c: c.cast("string")), " "))
+
+
+@query(f"""{_SIGNAL}, best AS (SELECT s.query, s.rank, s.section, c.id AS page FROM signal s JOIN pcos c ON c.query = s.query AND c.id // 3 = s.section
+  QUALIFY row_number() OVER (PARTITION BY s.query, s.section ORDER BY c.score DESC, c.id) = 1)
+SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY "rank") AS INTEGER) AS place, page, section, 0.05::DOUBLE AS score
+FROM best ANTI JOIN (SELECT query, id AS page FROM cos QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 8) USING (query, page) QUALIFY place <= 5""".replace(
+    f"{_FINE},", f"{_COS.format(n=100).replace('cos AS', 'pcos AS', 1).replace('a.vec_id <> b.vec_id', 'true')}, {_FINE},", 1))
+def concept_bucket(spark, d):
+    q, v = A.vector_queries(spark, d), A.vectors(spark, d)
+    retrieved = R.nearest(q, v).select("query", F.col("id").alias("page"))
+    return C.bucket(_signal(spark, d), v.withColumn("section", _page_section()), q, retrieved)
+
+
+def _base_sections(spark, d):
+    return C.first_of_section(QUERIES["rrf_fuse"](spark, d).withColumn("section", _page_section()))
+
+
+@query(f"WITH {_COS.format(n=100)}, {_FUSED} SELECT * FROM base")
+def first_pages_of_sections(spark, d):
+    return _base_sections(spark, d)
+
+
+@query(f"""{_SIGNAL}, {_FUSED}, f AS (SELECT query, b.section AS l, s.section AS r FROM base b FULL JOIN signal s USING (query, section))
+SELECT query, count(l) AS base, count(r) AS signal, count(l + r) AS shared, count(r) - count(l + r) AS novel, round(count(l + r) / count(*), 6) AS jaccard FROM f GROUP BY 1""")
+def signal_harness(spark, d):
+    return C.compare_buckets(_base_sections(spark, d), _signal(spark, d))
+
+
+_ASKED = (("the", 0), ("clown", 0), ("thing", 100), ("que", 100), ("oned", 100), ("the", 100))
+
+
+@query(ORACLES["bm25_terms"].replace("WITH tok", f"WITH {_COS.format(n=100).replace('a.vec_id <> b.vec_id', 'true')}, tok", 1).replace(
+    "SELECT query, CAST(row_number()", ", terms AS (SELECT query AS phrase, CAST(row_number()", 1) + f""")
+SELECT query, id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score FROM (
+  SELECT a.query, page AS id, "rank" AS r FROM terms JOIN (VALUES {', '.join(f"('{p}', {q})" for p, q in _ASKED)}) a(phrase, query) USING (phrase)
+  UNION ALL SELECT query, id, row_number() OVER (PARTITION BY query, source ORDER BY score DESC, id) AS r FROM cos QUALIFY r <= 8) GROUP BY ALL""")
+def hybrid_query(spark, d):
+    pages = A.documents(spark, d).withColumnRenamed("section", "page")
+    terms = spark.createDataFrame([(q, p) for p, q in _ASKED], "query long, phrase string")
+    return H.run_retrieval(pages, R.postings(pages), A.vectors(spark, d), terms, A.vector_queries(spark, d))
+
+
+@query(f"""WITH {_COS.format(n=100)}, one AS (SELECT query, id, score FROM cos QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 8),
+two AS (SELECT query, id, score + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END AS score FROM cos QUALIFY row_number() OVER (PARTITION BY query, source ORDER BY score DESC, id) <= 2),
+j AS (SELECT query, id, one.score AS s1, two.score AS s2, CASE WHEN one.score IS NOT NULL AND id % 3 <> 0 THEN (id % 10) / 10 END AS rel, one.score IS NOT NULL AS was FROM one FULL JOIN two USING (query, id))
+SELECT query, id, round(coalesce(s1, 0) + coalesce(s2, 0) + CASE WHEN was AND coalesce(rel, 1) >= 0.35 THEN coalesce(rel, 0.5) ELSE 0 END, 6) AS score
+FROM j WHERE NOT was OR coalesce(rel, 1) >= 0.35 OR s2 >= 1""")
+def second_pass(spark, d):
+    q, v = A.vector_queries(spark, d), A.vectors(spark, d)
+    first = R.nearest(q, v).select("query", "id", "score")
+    second = R.nearest(q, v, k=2, per="source").select("query", "id", (F.col("score") + F.when(F.col("id") % 7 == 0, 1.0).otherwise(0.0)).alias("score"))
+    relevance = first.select("query", "id", F.when(F.col("id") % 3 != 0, (F.col("id") % 10) / 10).alias("relevance"))
+    return R.second_pass(first, second, relevance).withColumn("score", F.round("score", 6))
+
+
+@query("""WITH c AS (SELECT 'n' || n_nationkey AS concept, n_name AS name, [r_name || ' ' || n_name] AS aliases FROM nation JOIN region ON n_regionkey = r_regionkey),
+a AS (SELECT c_custkey AS key, CASE c_custkey % 5 WHEN 0 THEN concept WHEN 1 THEN ' ' || lower(aliases[1]) || '!' ELSE 'x' END AS id,
+  CASE c_custkey % 5 WHEN 2 THEN lower(name) WHEN 3 THEN '(' || name || ')' ELSE 'nobody' END AS name FROM customer JOIN c ON concept = 'n' || c_nationkey),
+k AS (SELECT concept, unnest(list_concat([name], aliases)) AS known FROM c),
+s AS (SELECT max(concept) AS concept, regexp_replace(regexp_replace(lower(known), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM k GROUP BY 2),
+g AS (SELECT *, regexp_replace(regexp_replace(lower(id), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS x, regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS y FROM a)
+SELECT key, coalesce(c.concept, s1.concept, (SELECT max(concept) FROM k WHERE lower(known) = lower(g.name)), s2.concept) AS concept
+FROM g LEFT JOIN c ON c.concept = trim(g.id) LEFT JOIN s s1 ON s1.slug = x LEFT JOIN s s2 ON s2.slug = y""")
+def resolve_names(spark, d):
+    nations = A.table(spark, d, "nation").join(A.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    known = nations.select(F.concat(F.lit("n"), "n_nationkey").alias("concept"), F.col("n_name").alias("name"), F.array(F.concat_ws(" ", "r_name", "n_name")).alias("aliases"))
+    way = F.col("c_custkey") % 5
+    rows = A.table(spark, d, "customer").select("c_custkey", F.concat(F.lit("n"), "c_nationkey").alias("concept")).join(known, "concept")
+    identity = F.when(way == 0, F.col("concept")).when(way == 1, F.concat(F.lit(" "), F.lower(F.col("aliases")[0]), F.lit("!"))).otherwise("x")
+    name = F.when(way == 2, F.lower("name")).when(way == 3, F.concat(F.lit("("), "name", F.lit(")"))).otherwise("nobody")
+    return C.resolve(rows.select(F.col("c_custkey").alias("key"), identity.alias("id"), name.alias("name")), known)
+
+
+@query(f"""WITH {_COS.format(n=100)}, top AS (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS r FROM cos QUALIFY r <= 6),
+ways AS (SELECT l_orderkey AS section, l_partkey AS concept, max(CAST(l_quantity AS DOUBLE) / 50) AS score, 0 AS way FROM lineitem GROUP BY ALL
+  UNION ALL SELECT * FROM (SELECT query // 3 AS s, id, max(score) AS score, 1 FROM top GROUP BY ALL) p QUALIFY row_number() OVER (PARTITION BY p.s ORDER BY p.score DESC, p.id) <= 6
+  UNION ALL SELECT query // 3, id, max(score), 2 FROM top WHERE r <= 3 GROUP BY ALL),
+w AS (SELECT section, concept, score FROM ways QUALIFY row_number() OVER (PARTITION BY section, concept ORDER BY way) = 1)
+SELECT section, CAST(row_number() OVER (PARTITION BY section ORDER BY score DESC, concept) AS INTEGER) AS "rank", concept, round(score, 6) AS score FROM w QUALIFY "rank" <= 12""")
+def candidate_set(spark, d):
+    picks = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("section"), F.col("l_partkey").alias("concept"), (F.col("l_quantity").cast("double") / 50).alias("score"))
+    near = R.nearest(A.vector_queries(spark, d), A.vectors(spark, d), k=6).select(_page_section("query").alias("section"), F.col("id").alias("concept"), "score", "rank")
+    return C.candidates(picks, C.nearest_of_section(near.drop("rank")), near.where("rank <= 3").drop("rank")).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {_FINE}, h AS (SELECT o_orderkey AS draft, o_orderkey + 1 AS section FROM orders),
+o AS (SELECT h.draft, h.section, sum(least(x.weight, y.weight)) AS o FROM h JOIN sig x ON x.section = h.draft JOIN sig y ON y.section = h.section AND y.concept = x.concept GROUP BY ALL)
+SELECT h.draft, h.section, CASE WHEN h.section IN (SELECT section FROM sig) THEN round(coalesce(o, 0), 6) END AS overlap FROM h LEFT JOIN o ON o.draft = h.draft AND o.section = h.section""")
+def draft_overlap(spark, d):
+    sig = A.signatures(spark, d, fine=True)
+    hits = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("draft"), (F.col("o_orderkey") + 1).alias("section"))
+    return C.draft_overlap(sig.withColumnRenamed("section", "draft"), hits, sig)
+
+
+@query("""SELECT l_orderkey AS section, count(*) AS entries, round(sum(CAST(l_quantity AS DOUBLE) / 100), 6) AS total FROM lineitem WHERE l_quantity > 0
+GROUP BY 1 HAVING count(*) BETWEEN 2 AND 6 AND round(sum(CAST(l_quantity AS DOUBLE) / 100), 6) BETWEEN 0.7::DOUBLE AND 1.3::DOUBLE""")
+def usable_entries(spark, d):
+    return C.usable(A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("section"), F.col("l_partkey").alias("concept"), (F.col("l_quantity").cast("double") / 100).alias("weight")))
+
+
+@query("""WITH v AS (SELECT doc_id AS section, text, CASE WHEN doc_id % 2 = 0 THEN ' ' || substr(text, 5, 20) || ' ' ELSE substr(text, 5, 20) || '§' END AS verse FROM documents)
+SELECT section, verse FROM v WHERE NOT contains(text, trim(verse))""")
+def verse_not_verbatim(spark, d):
+    docs = A.documents(spark, d)
+    cut = F.substring("text", 5, 20)
+    return C.not_verbatim(docs.select("section", F.when(F.col("section") % 2 == 0, F.concat(F.lit(" "), cut, F.lit(" "))).otherwise(F.concat(cut, F.lit("§"))).alias("verse")), docs)
+
+
+_RUNS = "r AS (SELECT user_id AS run, min(ts) AS started, max(CASE WHEN event_type = 'purchase' THEN ts END) AS finished FROM events GROUP BY 1)"
+
+
+@query(f"""WITH {_RUNS} SELECT (SELECT run FROM r ORDER BY started DESC, run DESC LIMIT 1) AS latest,
+(SELECT run FROM r WHERE finished IS NOT NULL ORDER BY started DESC, run DESC LIMIT 1) AS finished, (SELECT run FROM r WHERE finished IS NULL ORDER BY started DESC, run DESC LIMIT 1) AS unfinished""")
+def latest_run(spark, d):
+    runs = A.events(spark, d).groupBy("run").agg(F.min("ts").alias("started"), F.max(F.when(F.col("event") == "purchase", F.col("ts"))).alias("finished"))
+    return C.latest_runs(runs)
+
+
+@query(f"""WITH {_FINE}, other AS (SELECT l_orderkey AS section, l_partkey + 1000 AS concept, sum(CAST(l_quantity AS DOUBLE)) AS w FROM lineitem GROUP BY ALL),
+b AS (SELECT section, concept, w / sum(w) OVER (PARTITION BY section) AS weight FROM other),
+o AS (SELECT sig.section, sum(least(sig.weight, b.weight)) AS o FROM sig JOIN b ON b.section = sig.section AND b.concept = sig.concept + 1000 WHERE sig.concept % 3 <> 0 GROUP BY ALL)
+SELECT o_orderkey AS section, round(coalesce(o, 0), 6) AS overlap FROM orders LEFT JOIN o ON section = o_orderkey""")
+def run_agreement(spark, d):
+    lines = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("section"), (F.col("l_partkey") + 1000).alias("concept"), F.col("l_quantity").cast("double").alias("weight"))
+    mapping = A.table(spark, d, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 1000).alias("b"))  # what matching found
+    golden = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("section"))
+    return C.agreement(A.signatures(spark, d, fine=True), S.normalise(lines), mapping, golden)
+
+
+_CHAPTERS = "ch AS (SELECT DISTINCT event_type || ':u' || user_id || ':' || (event_id % 50) AS section, event_type AS source, 'u' || user_id AS slug, event_id % 50 AS chapter FROM events)"
+_RENAMES = {"u1": "u2", "u2": "u1"}
+
+
+def _chapters(spark, d):
+    section = F.concat(F.col("event"), F.lit(":u"), F.col("run").cast("string"), F.lit(":"), (F.col("event_id") % 50).cast("string"))
+    return A.events(spark, d).select(section.alias("section"), F.col("event").alias("source")).distinct()
+
+
+@query(f"""WITH {_CHAPTERS}, x AS (SELECT *, CASE slug WHEN 'u1' THEN 'u2' WHEN 'u2' THEN 'u1' ELSE slug END AS s FROM ch WHERE source = 'view')
+SELECT x.section AS src, y.section AS dst FROM x JOIN ch y ON y.source = 'click' AND y.slug = s AND y.chapter = x.chapter""")
+def parallel_chapters(spark, d):
+    return C.parallel(_chapters(spark, d), "view", "click", _RENAMES)
+
+
+@query(f"""WITH {_CHAPTERS}, x AS (SELECT section, source, CASE WHEN source = 'view' AND slug = 'u1' THEN 'u2' WHEN source = 'view' AND slug = 'u2' THEN 'u1' ELSE slug END AS s FROM ch)
+SELECT section, CASE WHEN source = 'error' THEN 'own' WHEN s IN (SELECT s FROM x WHERE source = 'view') THEN 'shared' ELSE 'rest' END AS family FROM x""")
+def section_families(spark, d):
+    return C.families(_chapters(spark, d), {"error": "own"}, "view", _RENAMES, "shared", "rest")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera import adapters
 from tessera.functions import scores, text
-from tessera.operators import edges, registry, retrieval, signatures
+from tessera.operators import concepts, edges, registry, retrieval, signatures
 from tessera.queries import QUERIES
 from tessera.sources import corpora, sinks
 from tessera.streaming import monitor
@@ -165,3 +165,44 @@ def test_pairs_of_vectors(spark):
     assert [(r.a, r.b, r.score) for r in retrieval.similar_pairs(v, 0.5).collect()] == [(1, 2, 0.995037)]
     assert sorted((r.a, r.b) for r in retrieval.pairs_between(v.where("id < 2"), v, 0.5, rows=1).collect()) == [(1, 1), (1, 2)]
     assert retrieval.similar_pairs(v.limit(0), 0.5).collect() == []
+
+
+def test_concept_search(spark):
+    seeds = spark.createDataFrame([(1, 10, 0.8), (1, 11, 0.2)], "query long, concept long, score double")
+    near = spark.createDataFrame([(10, 11, 0.9), (10, 12, 0.5), (10, 13, 0.4), (14, 10, -0.1)], "a long, b long, npmi double")
+    got = concepts.match(seeds, near)
+    # the seed 11 gains by its neighbour 10; 13 is the third neighbour of 10 and stays out
+    assert [(r.concept, round(r.score, 6), r.via) for r in got.orderBy("concept").collect()] == [(10, 0.8, None), (11, 0.36, 10), (12, 0.2, 10)]
+    sig = spark.createDataFrame([(1, 10, 0.5), (1, 12, 0.5), (2, 11, 1.0), (3, 99, 1.0)], "section long, concept long, weight double")
+    found = concepts.search(got, sig)
+    assert [tuple(r) for r in found.orderBy("rank").collect()] == [(1, 1, 1, 0.5, [10, 12]), (1, 2, 2, 0.36, [11])]
+    pages = spark.createDataFrame([(7, 1, [1.0, 0.0]), (8, 1, [0.0, 1.0]), (9, 2, [1.0, 1.0])], "id long, section long, v array<double>")
+    asked = spark.createDataFrame([(1, [0.0, 2.0])], "query long, q array<double>")
+    seen = spark.createDataFrame([(1, 9)], "query long, page long")
+    assert rows(concepts.bucket(found, pages, asked, seen)) == [(1, 1, 8, 1, 0.05)]
+    assert concepts.match(seeds.limit(0), near).collect() == [] and concepts.search(got, sig.limit(0)).collect() == []
+
+
+def test_names_candidates_and_runs(spark):
+    known = spark.createDataFrame([("mercy", "Mercy", ["Divine Love"]), ("law", "Law", None)], "concept string, name string, aliases array<string>")
+    asked = spark.createDataFrame([(1, "law", None), (2, "divine-love", ""), (3, None, "MERCY"), (4, "", "(Law)"), (5, "x", "y"), (6, None, None)], "key long, id string, name string")
+    assert rows(concepts.resolve(asked, known).where("concept IS NOT NULL")) == [(1, "law"), (2, "mercy"), (3, "mercy"), (4, "law")]
+    ways = "section long, concept long, score double"
+    got = concepts.candidates(spark.createDataFrame([(1, 5, 0.3), (1, 5, 0.4)], ways), spark.createDataFrame([(1, 5, 0.9), (1, 6, 0.7)], ways), cap=1)
+    assert rows(got) == [(1, 1, 6, 0.7)]
+    sig = spark.createDataFrame([(1, 5, 1.0), (2, 6, 1.0)], "section long, concept long, weight double")
+    hits = spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "draft long, section long")
+    assert {r.section: r.overlap for r in concepts.draft_overlap(sig.withColumnRenamed("section", "draft"), hits, sig).collect()} == {1: 1.0, 2: 0.0, 3: None}
+    runs = spark.createDataFrame([("a", 1, 5), ("b", 2, None), ("c", 2, 9)], "run string, started int, finished int")
+    assert rows(concepts.latest_runs(runs)) == [("c", "c", "b")] and rows(concepts.latest_runs(runs.limit(0))) == [(None, None, None)]
+    golden = spark.createDataFrame([(1,), (4,)], "section long")
+    assert rows(concepts.agreement(sig, sig, spark.createDataFrame([(5, 5)], "a long, b long"), golden)) == [(1, 1.0), (4, 0.0)]
+
+
+def test_second_pass(spark):
+    score = "query int, id int, score double"
+    first = spark.createDataFrame([(1, 1, 0.1), (1, 2, 0.1), (1, 3, 0.1), (1, 4, 0.1)], score)
+    second = spark.createDataFrame([(1, 2, 0.3), (1, 3, 1.2), (1, 5, 0.2)], score)
+    judged = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.1), (1, 3, 0.1)], "query int, id int, relevance double")
+    # 2 stays barred, 3 was looked up, 4 was not judged, 5 is new
+    assert [(a, b, round(c, 6)) for a, b, c in rows(retrieval.second_pass(first, second, judged))] == [(1, 1, 1.0), (1, 3, 1.3), (1, 4, 0.6), (1, 5, 0.2)]
