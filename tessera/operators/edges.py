@@ -71,10 +71,23 @@ def temporal(sections: DataFrame) -> DataFrame:
     return _follow(sections, "source")
 
 
-def reading_order(sections: DataFrame, interleaved: bool = True) -> DataFrame:
-    """Positions: one section of each source in turn, or source after source."""
+def reading_order(sections: DataFrame, interleaved: bool = True, done: DataFrame | None = None) -> DataFrame:
+    """Places from 1: one section of each source in turn, or source after source; those that are
+    ``done(section)`` are left out first. A place follows from the turn and from how many sections each
+    source has (sources are few), so that no window runs over all."""
+    if done is not None:
+        sections = sections.join(done, "section", "left_anti")
     turn = F.row_number().over(Window.partitionBy("source").orderBy("seq", "section"))
-    return sections.select("section", "source", turn.alias("turn")).orderBy(*(("turn", "source") if interleaved else ("source", "turn")))
+    sizes = sections.groupBy("source").agg(F.count("*").alias("n")).agg(F.sort_array(F.collect_list(F.struct("source", "n"))).alias("sizes"))
+    rows = sections.select("section", "source", turn.alias("turn")).join(F.broadcast(sizes))
+    before = lambda x: x["source"] < F.col("source")
+    if interleaved:
+        ahead = F.transform("sizes", lambda x: F.least(x["n"], F.col("turn") - 1) + (before(x) & (x["n"] >= F.col("turn"))).cast("long"))
+    else:
+        ahead = F.transform("sizes", lambda x: F.when(before(x), x["n"]).otherwise(F.lit(0)))
+    first = F.lit(1) if interleaved else F.col("turn")
+    place = F.aggregate(ahead, first.cast("long"), lambda t, x: t + x)
+    return rows.select("section", "source", "turn", place.alias("place"))
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

@@ -93,12 +93,14 @@ def temporal_edges(spark, d):
     return E.temporal(A.sections(spark, d))
 
 
-@query(f"WITH {_SECTIONS} SELECT section, source, CAST(row_number() OVER (PARTITION BY source ORDER BY seq, section) AS INTEGER) AS turn FROM sec")
+@query(f"""WITH {_SECTIONS}, t AS (SELECT section, source, CAST(row_number() OVER (PARTITION BY source ORDER BY seq, section) AS INTEGER) AS turn FROM sec)
+SELECT *, row_number() OVER (ORDER BY turn, source) AS place FROM t""")
 def interleaved_order(spark, d):
     return E.reading_order(A.sections(spark, d))
 
 
-@query(f"WITH {_SECTIONS} SELECT section, source, CAST(row_number() OVER (PARTITION BY source ORDER BY seq, section) AS INTEGER) AS turn FROM sec")
+@query(f"""WITH {_SECTIONS}, t AS (SELECT section, source, CAST(row_number() OVER (PARTITION BY source ORDER BY seq, section) AS INTEGER) AS turn FROM sec)
+SELECT *, row_number() OVER (ORDER BY source, turn) AS place FROM t""")
 def temporal_order(spark, d):
     return E.reading_order(A.sections(spark, d), interleaved=False)
 
@@ -269,7 +271,13 @@ def bm25_terms(spark, d):
     return R.bm25(index, spark.createDataFrame([(t, t) for t in _TERMS], "query string, phrase string"))
 
 
-@query()
+@query("""WITH tok AS (SELECT doc_id AS page, list_filter(regexp_split_to_array(lower(regexp_replace(translate(text, 'ٰـ', 'ا'), '\\p{Mn}', '', 'g')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM documents),
+s AS (SELECT page, len(t) AS length, t FROM tok WHERE len(t) > 0), tot AS (SELECT count(*) AS n, avg(length) AS mean FROM s),
+q AS (SELECT * FROM (VALUES ('1', ['and', 'the']), ('2', ['of', 'the']), ('3', ['in', 'the', 'of'])) v(query, p)),
+h AS (SELECT query, page, length, len(list_filter(range(1, len(t) - len(p) + 2), lambda i: t[i:i + len(p) - 1] = p)) AS tf FROM s CROSS JOIN q),
+f AS (SELECT query, count(*) AS df FROM h WHERE tf > 0 GROUP BY 1), g AS (
+SELECT query, page, round(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean)), 6) AS score FROM h JOIN f USING (query) CROSS JOIN tot WHERE tf > 0)
+SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, page) AS INTEGER) AS "rank", page, score FROM g QUALIFY "rank" <= 8""")
 def bm25_phrase(spark, d):
     index = R.postings(A.documents(spark, d).withColumnRenamed("section", "page"))
     return R.bm25(index, spark.createDataFrame([("1", "and the"), ("2", "of the"), ("3", "in the of")], "query string, phrase string"))
@@ -337,7 +345,8 @@ def retry_rate(spark, d):
     return G.health(A.events(spark, d)).drop("level")
 
 
-@query()
+@query("""WITH h AS (SELECT user_id AS run, count(*) AS n, round(avg(CAST(event_type = 'error' AS INTEGER)), 6) AS empty_rate, round(median(value), 6) AS median_value FROM events GROUP BY 1)
+SELECT *, CASE WHEN empty_rate > 0.05::DOUBLE AND n >= 30 THEN 2 WHEN empty_rate > 0.025::DOUBLE OR median_value > 300 THEN 1 ELSE 0 END AS level FROM h""")
 def run_health(spark, d):
     return G.health(A.events(spark, d))
 
@@ -409,7 +418,10 @@ def passage_lookup(spark, d):
     return R.lookup(refs, verses)
 
 
-@query()
+@query(f"""WITH {_EDGES} SELECT 0 AS part, '<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><graph edgedefault="undirected">' AS line
+UNION ALL SELECT 1, '<node id="' || id || '"/>' FROM (SELECT src AS id FROM edg UNION SELECT dst FROM edg)
+UNION ALL SELECT 2, '<edge source="' || src || '" target="' || dst || '"><data key="kind">' || kind || '</data><data key="weight">' || printf('%.6f', CAST(weight AS DOUBLE)) || '</data></edge>' FROM edg
+UNION ALL SELECT 3, '</graph></graphml>'""")
 def graphml(spark, d):
     return E.graphml(_all_edges(spark, d))
 

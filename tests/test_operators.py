@@ -206,3 +206,12 @@ def test_second_pass(spark):
     judged = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.1), (1, 3, 0.1)], "query int, id int, relevance double")
     # 2 stays barred, 3 was looked up, 4 was not judged, 5 is new
     assert [(a, b, round(c, 6)) for a, b, c in rows(retrieval.second_pass(first, second, judged))] == [(1, 1, 1.0), (1, 3, 1.3), (1, 4, 0.6), (1, 5, 0.2)]
+
+
+def test_reading_order(spark):
+    t = spark.createDataFrame([(1, "a", 1), (2, "a", 2), (3, "a", 3), (4, "b", 1), (5, "c", 1), (6, "c", 2)], "section int, source string, seq int")
+    order = lambda df: [r.section for r in df.orderBy("place").collect()]
+    assert order(edges.reading_order(t)) == [1, 4, 5, 2, 6, 3] and order(edges.reading_order(t, False)) == [1, 2, 3, 4, 5, 6]
+    got = edges.reading_order(t, done=spark.createDataFrame([(1,), (4,)], "section int"))
+    assert [(r.place, r.section) for r in got.orderBy("place").collect()] == [(1, 2), (2, 5), (3, 3), (4, 6)]
+    assert edges.reading_order(t.limit(0)).collect() == []
