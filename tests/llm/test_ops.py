@@ -66,6 +66,17 @@ def test_licence_texts_match_whole(spark):
     assert {r.doc_id: r.license for r in licenses.scan(docs).collect()} == {1: "MIT", 2: None}
 
 
+def test_every_known_licence_behind_comment_signs(spark):
+    rows = []
+    for i, (name, body) in enumerate(sorted(licenses.TEXTS.items())):
+        title = [t.upper() for t in licenses.TITLES.get(name, [])[-1:]]
+        lines = [*title, "Copyright (c) 1999-2024 Some One", *body.split("\n")]
+        rows += [(3 * i, name, "\r\n".join(f" * {x}  " for x in lines)), (3 * i + 1, name, "\n\n".join(f"# {x}" for x in lines)), (3 * i + 2, None, body.replace("IS PROVIDED", "IS NOT PROVIDED", 1).replace("is provided", "is not provided", 1))]
+    docs = spark.createDataFrame(rows, "doc_id long, want string, text string")
+    wrong = [(r.doc_id, r.want, r.license) for r in licenses.scan(docs).collect() if r.want != r.license]
+    assert not wrong and len(licenses.TEXTS) == 9
+
+
 def test_bitsliced_odd_vectors(spark):
     nan = float("nan")
     rows = [(0, [1.0, -1.0]), (1, [1.0, -1.0]), (1, [1.0, -1.0]), (2, [0.5, nan]), (3, None), (4, [0.1, None]), (5, [1.0]), (50, [-3.5, 2.25]), (None, [1.0, 1.0]), (7, [0.0, 0.0])]
