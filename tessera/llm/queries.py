@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced, boosting, crf, ftrl, fuzzylines, langid, licenses, mixing, neardup, packing
+from . import bitsliced, boosting, crf, ftrl, fuzzylines, langid, licenses, mixing, neardup, packing, projections, spelling
 from .common import crc_mod, table
 
 
@@ -60,9 +60,18 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projections.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_topk_search, op2_quality_rules, op3_toxicity, op4_license_scan, op5_minhash_near_dedup,
     op6_packing, op7_quality_classifier, op8_fuzzy_line_dedup, op9_language_id, op10_source_mixing,
+    op11_vector_near_dedup, op12_spelling_variants,
 )}
 
 ORACLES = {
@@ -102,5 +111,20 @@ SELECT o.doc_id, o.size, p.source_size, p.target,
        CAST(CASE WHEN p.source_size = 0 THEN 0 ELSE o.size * (p.take // p.source_size)
             + greatest(0, least(o.at + o.size, p.take % p.source_size) - o.at) END AS BIGINT) AS taken
 FROM o JOIN p ON o.source IS NOT DISTINCT FROM p.source
+""",
+    "op11_vector_near_dedup": """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.k AS a, b.k AS b, b.vec_id AS id FROM v a JOIN v b ON a.k <> b.k AND len(a.e) = len(b.e)
+  AND list_inner_product(a.e, b.e) >= 0.95::DOUBLE * sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e))
+), reach AS (
+  SELECT a, b, id FROM l UNION SELECT r.a, l.b, l.id FROM reach r JOIN l ON r.b = l.a
+), n AS (SELECT a AS k, count(*) AS n FROM l GROUP BY 1), c AS (SELECT a AS k, min(id) AS c FROM reach GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(c, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(c, vec_id)) AS kept
+FROM v LEFT JOIN n USING (k) LEFT JOIN c USING (k)
+UNION ALL SELECT vec_id, 0, vec_id, vec_id IS NOT NULL FROM embeddings e
+WHERE vec_id IS NULL OR embedding IS NULL OR len(embedding) = 0 OR len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0 OR len(list_filter(embedding, lambda x: x <> 0)) = 0
 """,
 }
