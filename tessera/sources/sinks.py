@@ -12,18 +12,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the folder that driver and executors share (``spark.checkpoint.dir``) and
-    read back: lineage is cut. Without the setting, only a local master has a folder of its own."""
-    spark = df.sparkSession
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``). Without the setting,
+    only a local master has a folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file://{tempfile.gettempdir()}/checkpoints"
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    return folder
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: lineage is cut."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def replace_partition(df: DataFrame, path: str, by: list[str], rebuilt: list[dict] | None = None) -> None:
