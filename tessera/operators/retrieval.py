@@ -10,10 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import cosine
-from ..functions.text import book_key, parse_ref, strip_marks
-
-TOKEN = r"[^\p{L}\p{N}]+"
-
+from ..functions.text import book_keys, parse_ref, ref_keys
+from .termindex import tokens
 
 def pages(sections: DataFrame, target: int = 1200) -> DataFrame:
     """Whole verses (lines) of (section, text) in pages of about ``target`` characters.
@@ -47,26 +45,25 @@ def pages(sections: DataFrame, target: int = 1200) -> DataFrame:
 
 
 def postings(pages: DataFrame, key: str = "page") -> DataFrame:
-    """(key, term, tf, positions, length) of the mark-stripped, lower-case tokens."""
-    tokens = F.filter(F.split(F.lower(strip_marks(F.col("text"))), TOKEN), lambda x: x != "")
-    rows = pages.select(key, tokens.alias("t")).withColumn("length", F.size("t"))
-    rows = rows.select(key, "length", F.posexplode("t").alias("pos", "term"))
-    return rows.groupBy(key, "length", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    """(key, t, length): the tokens of each page's text. For terms that are asked again and again
+    write ``termindex`` once instead."""
+    return pages.select(key, tokens(F.col("text")).alias("t")).withColumn("length", F.size("t"))
 
 
 def bm25(index: DataFrame, queries: DataFrame, k: int = 8, key: str = "page", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Best pages for each query phrase, (query, phrase); terms must follow one another.
 
     The phrase is one unit, as in a full-text index: its frequency and document
-    frequency enter the formula. Higher is better."""
-    totals = index.groupBy(key).agg(F.first("length").alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    terms = queries.select("query", F.filter(F.split(F.lower(strip_marks(F.col("phrase"))), TOKEN), lambda x: x != "").alias("t"))
+    frequency enter the formula. Higher is better. Only occurrences of the queries' terms are
+    grouped; of the other tokens no row leaves its task."""
+    totals = index.where("length > 0").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    terms = queries.select("query", tokens(F.col("phrase")).alias("t"))
     terms = terms.select("query", F.size("t").alias("m"), F.posexplode("t").alias("i", "term"))
-    hits = index.join(F.broadcast(terms), "term").select("query", "m", key, "length", F.explode("positions").alias("p"), "i")
+    hits = index.select(key, "length", F.posexplode("t").alias("p", "term")).join(terms, "term")
     starts = hits.groupBy("query", "m", key, "length", (F.col("p") - F.col("i")).alias("start")).agg(F.count("*").alias("c")).where("c = m")
     tf = starts.groupBy("query", key, "length").agg(F.count("*").alias("tf"))
     df = tf.groupBy("query").agg(F.count("*").alias("df"))
-    rows = tf.join(df, "query").join(F.broadcast(totals))
+    rows = tf.join(df, "query").crossJoin(totals)
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     score = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     best = Window.partitionBy("query").orderBy(F.desc("score"), key)
@@ -196,23 +193,52 @@ def fill(placed: DataFrame, budget: int) -> DataFrame:
     return kept.select("query", "r.id", "r.score", "r.chars")
 
 
+def passage_index(pages: DataFrame) -> DataFrame:
+    """(key, chapter, first_verse, last_verse, page): pages by every key of their book."""
+    return pages.select(F.explode(book_keys(F.col("book"))).alias("key"), "chapter", "first_verse", "last_verse", "page")
+
+
+#: Letters that a prefix needs at least.
+LEAST_PREFIX = 4
+
+
+def _prefixes(key: str, own: bool) -> Column:
+    """The prefixes of ``LEAST_PREFIX`` characters or more, with or without the key itself."""
+    most = F.length(key) - (0 if own else 1)
+    return F.explode(F.when(most >= LEAST_PREFIX, F.transform(F.sequence(F.lit(LEAST_PREFIX), most), lambda n: F.left(F.col(key), n))))
+
+
+def near_keys(wanted: DataFrame, keys: DataFrame) -> DataFrame:
+    """(wanted, key) for each ``wanted(wanted)`` with exactly one near key in ``keys(key)``: one that
+    begins with it, or with which it begins. By equi-joins: an index of the keys' prefixes, with
+    the number of keys below each, for the first; the wanted's own prefixes for the second."""
+    long = keys.where(F.length("key") >= LEAST_PREFIX)
+    below = long.select("key", _prefixes("key", True).alias("wanted")).groupBy("wanted").agg(F.count("*").alias("n"), F.min("key").alias("key"))
+    longer = wanted.where(F.length("wanted") >= LEAST_PREFIX).join(below, "wanted")
+    shorter = wanted.select("wanted", _prefixes("wanted", False).alias("key")).join(long, "key").groupBy("wanted").agg(F.count("*").alias("n"), F.min("key").alias("key"))
+    both = longer.select("wanted", "n", "key").unionByName(shorter.select("wanted", "n", "key"))
+    return both.groupBy("wanted").agg(F.sum("n").alias("n"), F.min("key").alias("key")).where("n = 1").drop("n")
+
+
 def lookup(refs: DataFrame, pages: DataFrame, k: int = 6) -> DataFrame:
-    """Pages (page, book, chapter, first_verse, last_verse) that a textual ref names.
-
-    The book matches by key, else by a unique prefix of four or more characters; a ref
-    without verses means the whole chapter."""
-    wanted = refs.select("ref", parse_ref(F.col("ref")).alias("p")).where("p IS NOT NULL").select("ref", "p.*").withColumn("key", book_key(F.col("book")))
-    keys = pages.select(book_key(F.col("book")).alias("full")).distinct()
-    prefix = (F.length("key") >= 4) & F.startswith("full", F.col("key"))
-    reach = wanted.select("key").distinct().join(F.broadcast(keys), (F.col("key") == F.col("full")) | prefix)
-    exact = Window.partitionBy("key")
-    reach = reach.withColumns({"same": F.max((F.col("key") == F.col("full")).cast("int")).over(exact), "n": F.count("*").over(exact)})
-    reach = reach.where(((F.col("same") == 1) & (F.col("key") == F.col("full"))) | ((F.col("same") == 0) & (F.col("n") == 1)))
-    rows = wanted.drop("book").join(reach.select("key", "full"), "key")
-    there = pages.withColumn("full", book_key(F.col("book"))).drop("book")
+    """Pages (page, book, chapter, first_verse, last_verse) that a textual ref names: (ref, rank, page).
+
+    The keys of a ref are tried in order: its book as written, without an article, with doubled
+    letters single, under its other name; then, for each that no book has, the only key that begins
+    with it or with which it begins. The first that gives pages counts. A ref without verses means
+    the whole chapter. Refs that cannot be read, null ones included, give nothing."""
+    index = passage_index(pages)
+    known = index.select("key").distinct()
+    wanted = refs.select("ref").distinct().select("ref", parse_ref(F.col("ref")).alias("p")).where("p IS NOT NULL")
+    wanted = wanted.select("ref", "p.*").select("ref", "chapter", "verse_from", "verse_to", F.posexplode(ref_keys(F.col("book"), F.col("chapter"))).alias("turn", "wanted"))
+    tried = wanted.join(known.select(F.col("key").alias("wanted"), F.col("key")), "wanted", "left")
+    lost = tried.where("key IS NULL").drop("key")
+    near = lost.join(near_keys(lost.select("wanted").distinct(), known), "wanted").withColumn("turn", F.col("turn") + 1000)
+    rows = tried.where("key IS NOT NULL").unionByName(near).join(index, ["key", "chapter"])
     hit = F.coalesce((F.col("first_verse") <= F.col("verse_to")) & (F.col("last_verse") >= F.col("verse_from")), F.lit(True))
-    rows = rows.join(there, ["full", "chapter"]).where(hit)
-    rank = F.row_number().over(Window.partitionBy("ref").orderBy("first_verse", "page"))
+    rows = rows.where(hit).groupBy("ref", "turn", "page").agg(F.min(F.struct("first_verse", "last_verse")).alias("at"))
+    rows = rows.withColumn("first", F.min("turn").over(Window.partitionBy("ref"))).where("turn = first")
+    rank = F.row_number().over(Window.partitionBy("ref").orderBy("at", "page"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("ref", "rank", "page")
 
 

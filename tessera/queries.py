@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,7 +15,9 @@ from .operators import edges as E
 from .operators import registry as G
 from .operators import retrieval as R
 from .operators import signatures as S
+from .operators import termindex as T
 from .plans import hybrid as H
+from .sources.sinks import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -283,6 +286,25 @@ def bm25_phrase(spark, d):
     return R.bm25(index, spark.createDataFrame([("1", "and the"), ("2", "of the"), ("3", "in the of")], "query string, phrase string"))
 
 
+_FIELDED = (("1", "the"), ("2", "src3"), ("3", "es"), ("4", "of the"), ("5", "src1 fr"), ("6", "que"), ("7", "fr the"))
+
+
+@query(f"""WITH fld AS (SELECT doc_id AS page, 'book' AS field, 2.0::DOUBLE AS w, source || ' ' || lang AS text FROM documents UNION ALL SELECT doc_id, 'text', 1.0::DOUBLE, text FROM documents),
+tok AS (SELECT page, field, w, list_filter(regexp_split_to_array(lower(regexp_replace(translate(text, 'ٰـ', 'ا'), '\\p{{Mn}}', '', 'g')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS t FROM fld),
+s AS (SELECT page, sum(len(t)) AS length FROM tok GROUP BY 1 HAVING sum(len(t)) > 0), tot AS (SELECT count(*) AS n, avg(length) AS mean FROM s),
+q AS (SELECT query, string_split(phrase, ' ') AS p FROM (VALUES {', '.join(map(str, _FIELDED))}) v(query, phrase)),
+h AS (SELECT query, page, sum(w * len(list_filter(range(1, len(t) - len(p) + 2), lambda i: t[i:i + len(p) - 1] = p))) AS tf FROM tok CROSS JOIN q GROUP BY ALL),
+f AS (SELECT query, count(*) AS df FROM h WHERE tf > 0 GROUP BY 1), g AS (
+SELECT query, page, round(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean)), 6) AS score FROM h JOIN s USING (page) JOIN f USING (query) CROSS JOIN tot WHERE tf > 0)
+SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, page) AS INTEGER) AS "rank", page, score FROM g QUALIFY "rank" <= 8""")
+def fielded_terms(spark, d):
+    # the index is written once; the search then opens the buckets of its terms
+    path = f"{shared_folder(spark)}/term-index-{uuid.uuid4().hex}"
+    docs = A.documents(spark, d).select(F.col("section").alias("page"), F.concat_ws(" ", "source", "lang").alias("book"), "text")
+    T.write(docs, path, ["book", "text"])
+    return T.search(spark, path, spark.createDataFrame(_FIELDED, "query string, phrase string"), {"book": 2.0, "text": 1.0}, kind="long")
+
+
 @query("SELECT url, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM pages")
 def slugify(spark, d):
     return A.table(spark, d, "pages").select("url", text.slugify(F.col("url")).alias("slug"))
@@ -408,14 +430,47 @@ def rolling_median(spark, d):
     return G.rolling_median(A.events(spark, d))
 
 
-@query()
+# Books are names of parts: numbered ones, and one that has another name. Refs are spelled in nine ways.
+_PASSAGES = r"""pas AS (SELECT CASE WHEN p_partkey % 50 = 1 THEN 'Song of Songs' WHEN p_partkey % 3 = 0 THEN printf('%03d %s', p_partkey % 100, p_name) ELSE p_name END AS book,
+  p_size AS chapter, CAST(1 + p_partkey % 30 AS INTEGER) AS v1, CAST(4 + p_partkey % 30 AS INTEGER) AS v2, CAST(p_partkey AS VARCHAR) AS page, p_name AS name FROM part),
+asked AS (SELECT DISTINCT CASE c_custkey % 9 WHEN 0 THEN name || ' ' || chapter WHEN 1 THEN replace(name, 'd', 'dd') || ' ' || chapter || ':' || v1 WHEN 2 THEN 'Al-' || upper(name) || ' ' || chapter || ':' || v1 || '-' || v2
+  WHEN 3 THEN left(name, len(name) - 2) || ' ' || chapter || ' : ' || (v1 + 1) WHEN 4 THEN name || 'ish ' || chapter WHEN 5 THEN 'Quran ' || chapter WHEN 6 THEN 'Canticles ' || chapter || '.' || v1 WHEN 7 THEN printf('%d %s %d:1-9', c_custkey % 100, name, chapter)
+  ELSE 'no place' END AS ref FROM customer JOIN pas ON page = CAST(c_custkey AS VARCHAR))"""
+_ARTICLES = "list_transform(list_filter(['ash', 'ath', 'ad', 'al', 'at', 'an', 'as', 'az', 'ar'], lambda a: starts_with(x, a) AND len(x) > len(a) + 2), lambda a: substr(x, len(a) + 1))"
+_SINGLE = "list_transform(k, lambda w: list_reduce(list_prepend(w, list_transform(range(97, 123), lambda c: chr(CAST(c AS INTEGER)))), lambda s, c: regexp_replace(s, c || '{2,}', c, 'g')))"
+
+
+@query(rf"""WITH {_PASSAGES},
+b1 AS (SELECT DISTINCT book, regexp_extract(book, '^0*([0-9]{{1,3}})\s', 1) AS num, regexp_replace(book, '^[0-9]{{1,3}}\s+', '') AS base FROM pas),
+b2 AS (SELECT book, num, regexp_replace(base, '[^0-9]', '', 'g') AS dig, regexp_replace(lower(base), '[^a-z]', '', 'g') AS x FROM b1),
+b3 AS (SELECT book, list_concat([x || dig], {_ARTICLES}, CASE WHEN num <> '' THEN [x || num, 'surah' || num] ELSE [] END) AS k FROM b2),
+idx AS (SELECT key, chapter, v1, v2, page FROM (SELECT book, unnest(list_distinct(list_concat(k, {_SINGLE}))) AS key FROM b3) JOIN pas USING (book)),
+r1 AS (SELECT ref, regexp_extract(ref, '^(.*?)\s+(\d+)(?:\s*[:.]\s*(\d+)(?:\s*-\s*(\d+))?)?\s*$', ['bk', 'ch', 'a', 'b']) AS p FROM asked),
+r2 AS (SELECT ref, p.bk AS bk, CAST(p.ch AS INTEGER) AS chapter, TRY_CAST(nullif(p.a, '') AS INTEGER) AS a, TRY_CAST(coalesce(nullif(p.b, ''), nullif(p.a, '')) AS INTEGER) AS b FROM r1 WHERE p.ch <> ''),
+r3 AS (SELECT *, regexp_replace(lower(bk), '[^a-z]', '', 'g') AS x, regexp_replace(bk, '[^0-9]', '', 'g') AS dig FROM r2),
+r4 AS (SELECT *, CASE WHEN x = 'quran' THEN ['surah' || chapter] ELSE list_concat([x || dig], {_ARTICLES}) END AS k FROM r3),
+r5 AS (SELECT *, list_concat(k, list_filter({_SINGLE}, lambda s: NOT list_contains(k, s))) AS ks FROM r4),
+r6 AS (SELECT *, list_concat(ks, list_transform(list_filter(ks, lambda s: s = 'canticles'), lambda s: 'songofsongs')) AS c FROM r5),
+r7 AS (SELECT ref, chapter, a, b, unnest(range(len(c))) AS turn, unnest(c) AS want FROM r6), keys AS (SELECT DISTINCT key FROM idx),
+far AS (SELECT want, min(key) AS key FROM (SELECT DISTINCT want FROM r7 WHERE want NOT IN (SELECT key FROM keys) AND len(want) >= 4)
+  JOIN keys ON len(key) >= 4 AND (starts_with(key, want) OR starts_with(want, key)) GROUP BY want HAVING count(*) = 1),
+t AS (SELECT ref, chapter, a, b, turn, want AS key FROM r7 SEMI JOIN keys ON key = want UNION ALL SELECT ref, chapter, a, b, turn + 1000, key FROM r7 JOIN far USING (want)),
+h AS (SELECT ref, turn, page, min((v1, v2)) AS at_ FROM t JOIN idx USING (key, chapter) WHERE a IS NULL OR (v1 <= b AND v2 >= a) GROUP BY ALL),
+f AS (SELECT * FROM h QUALIFY turn = min(turn) OVER (PARTITION BY ref))
+SELECT ref, CAST(row_number() OVER (PARTITION BY ref ORDER BY at_, page) AS INTEGER) AS "rank", page FROM f QUALIFY "rank" <= 6""")
 def passage_lookup(spark, d):
-    verses = A.table(spark, d, "lineitem").select(
-        F.concat(F.lit("Book "), F.chr(65 + F.col("l_suppkey") % 26), F.chr(97 + F.col("l_suppkey") % 7)).alias("book"), (F.col("l_orderkey") % 50).cast("int").alias("chapter"),
-        (F.col("l_linenumber") * 5 - 4).alias("first_verse"), (F.col("l_linenumber") * 5).alias("last_verse"), F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("page"),
-    )
-    refs = spark.createDataFrame([("Book Bb 3:2-7",), ("Book Cc 10",), ("nonsense",)], "ref string")
-    return R.lookup(refs, verses)
+    key = F.col("p_partkey")
+    book = F.when(key % 50 == 1, "Song of Songs").when(key % 3 == 0, F.format_string("%03d %s", key % 100, "p_name")).otherwise(F.col("p_name"))
+    first = (key % 30 + 1).cast("int")
+    pages = A.table(spark, d, "part").select(book.alias("book"), F.col("p_size").alias("chapter"), first.alias("first_verse"), (first + 3).alias("last_verse"), key.cast("string").alias("page"), F.col("p_name").alias("name"))
+    rows = A.table(spark, d, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("page")).join(pages, "page")
+    name, at, lo, hi, way = F.col("name"), F.col("chapter").cast("string"), F.col("first_verse"), F.col("last_verse"), F.col("c_custkey") % 9
+    ways = {
+        0: F.concat_ws(" ", name, at), 1: F.format_string("%s %s:%d", F.replace(name, F.lit("d"), F.lit("dd")), at, lo), 2: F.format_string("Al-%s %s:%d-%d", F.upper(name), at, lo, hi),
+        3: F.format_string("%s %s : %d", F.left(name, F.length(name) - 2), at, lo + 1), 4: F.format_string("%sish %s", name, at), 5: F.format_string("Quran %s", at),
+        6: F.format_string("Canticles %s.%d", at, lo), 7: F.format_string("%d %s %s:1-9", F.col("c_custkey") % 100, name, at), 8: F.lit("no place"),
+    }
+    return R.lookup(rows.select(F.coalesce(*[F.when(way == n, ref) for n, ref in ways.items()]).alias("ref")), pages.drop("name"))
 
 
 @query(f"""WITH {_EDGES} SELECT 0 AS part, '<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><graph edgedefault="undirected">' AS line
