@@ -1,17 +1,13 @@
-"""Pages, term and vector search, fusion, budgets and passage lookup."""
+"""Pages, term search, fusion, budgets and passage lookup."""
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scores import cosine
 from ..functions.text import book_keys, parse_ref, ref_keys
 from .termindex import tokens
+from .vectors import nearest, pairs_between, similar_pairs  # noqa: F401
 
 def pages(sections: DataFrame, target: int = 1200) -> DataFrame:
     """Whole verses (lines) of (section, text) in pages of about ``target`` characters.
@@ -70,85 +66,6 @@ def bm25(index: DataFrame, queries: DataFrame, k: int = 8, key: str = "page", k1
     return rows.withColumn("score", F.round(score, 6)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", "rank", key, "score")
 
 
-BLOCKS = 32
-
-
-def _block(id_: str, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(id_), F.lit(blocks)).cast("int")
-
-
-def nearest(
-    queries: DataFrame, corpus: DataFrame, k: int = 8, per: str | None = None, floor: float | None = None, other: bool = True, blocks: int = BLOCKS
-) -> DataFrame:
-    """Cosine top-k of (query, q) in (id, v[, per]): in all, or for each value of ``per``.
-
-    The stated query set meets the corpus block by block, by an equi-join on the block;
-    nothing is broadcast. Windows keep k rows of a block before they meet the others."""
-    dealt = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = corpus.withColumn("block", _block("id", blocks)).join(dealt, "block")
-    if other:
-        pairs = pairs.where("query <> id")
-    pairs = pairs.withColumn("score", F.round(cosine(F.col("q"), F.col("v")), 6))
-    if floor is not None:
-        pairs = pairs.where(F.col("score") >= floor)
-    group = ["query", *([per] if per else [])]
-    best = Window.partitionBy(*group).orderBy(F.desc("score"), "id")
-    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(*group, "rank", "id", "score")
-
-
-#: Vectors of a block at most: a task compares two blocks.
-BLOCK_ROWS = 4_096
-
-
-def _products(floor: float, own: bool):
-    """Pairs of two blocks at or over the cosine floor, by one product of their matrices."""
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "score": np.zeros(0)}
-        parts = []
-        right = right.rename(columns=lambda c: c.removeprefix("o_"))
-        for dim in sorted(set(left["dim"]) & set(right["dim"])) if len(left) and len(right) else []:
-            x, y = left[left["dim"] == dim], right[right["dim"] == dim]
-            u, v = (np.stack(t["v"].to_numpy()).astype(float).reshape(len(t), -1) for t in (x, y))
-            u, v = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (u, v))
-            ia, ib = x["id"].to_numpy(), y["id"].to_numpy()
-            for at in range(0, len(u), 512):
-                scores = np.round(u[at : at + 512] @ v.T, 6)
-                i, j = np.nonzero(scores >= floor)
-                keep = ia[at + i] < ib[j] if own else np.ones(len(i), bool)
-                parts.append((ia[at + i][keep], ib[j][keep], scores[i, j][keep]))
-        if parts:
-            out = dict(zip(out, map(np.concatenate, zip(*parts, strict=True)), strict=True))
-        return pd.DataFrame(out)
-
-    return run
-
-
-def _block_pairs(left: DataFrame, right: DataFrame, floor: float, own: bool, rows: int) -> DataFrame:
-    least = 2 * left.sparkSession.sparkContext.defaultParallelism  # block pairs at least, to use all cores
-    known = lambda t: t.where("v IS NOT NULL AND id IS NOT NULL").select(F.col("id").cast("long"), "v", F.size("v").alias("dim"))
-    left, right = known(left), known(right)
-    count = lambda t: max(-(-t.count() // rows), math.isqrt(least - 1) + 1)
-    m, n = count(left), count(right)
-    x = left.withColumns({"i": _block("id", m), "j": F.explode(F.sequence(F.lit(0), F.lit(n - 1)))})
-    y = right.withColumns({"j": _block("id", n), "i": F.explode(F.sequence(F.lit(0), F.lit(m - 1)))})
-    y = y.select(F.col("id").alias("o_id"), F.col("v").alias("o_v"), F.col("dim").alias("o_dim"), F.col("i").alias("o_i"), F.col("j").alias("o_j"))
-    return x.groupBy("i", "j").cogroup(y.groupBy("o_i", "o_j")).applyInPandas(_products(floor, own), "a long, b long, score double")
-
-
-def similar_pairs(vectors: DataFrame, floor: float, rows: int = BLOCK_ROWS) -> DataFrame:
-    """Pairs a < b of (id, v) at or over the cosine floor. All pairs are compared, as a registry of
-    concepts needs: blocks by the number of rows, one matrix product for each two of them. For
-    large tables use an index instead."""
-    return _block_pairs(vectors, vectors, floor, True, rows)
-
-
-def pairs_between(left: DataFrame, right: DataFrame, floor: float, rows: int = BLOCK_ROWS) -> DataFrame:
-    """All pairs (a, b, score) of a row of ``left`` and one of ``right``, (id, v), at or over the
-    cosine floor, in the same way. No row's pairs are capped."""
-    return _block_pairs(left, right, floor, False, rows)
-
-
 def fuse(lists: DataFrame, constant: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of (query, list, rank, id), ranks from 1."""
     return lists.groupBy("query", "id").agg(F.round(F.sum(1.0 / (constant + F.col("rank"))), 9).alias("score"))

@@ -16,6 +16,7 @@ from .operators import registry as G
 from .operators import retrieval as R
 from .operators import signatures as S
 from .operators import termindex as T
+from .operators import vectors as V
 from .plans import hybrid as H
 from .sources.sinks import shared_folder
 
@@ -200,6 +201,14 @@ def knn_global(spark, d):
     return R.nearest(A.vector_queries(spark, d), A.vectors(spark, d))
 
 
+@query("WITH " + _COS.format(n=100) + _RANKED.format(per="", by="", where="", k=5))
+def knn_indexed(spark, d):
+    # cells are written once; a query opens those that its bounds leave
+    path = f"{shared_folder(spark)}/vector-index-{uuid.uuid4().hex}"
+    V.write_index(A.vectors(spark, d), path)
+    return V.search_index(spark, path, A.vector_queries(spark, d), 5)[0]
+
+
 @query("WITH " + _COS.format(n=100) + _RANKED.format(per="source,", by=", source", where="", k=2))
 def knn_per_source(spark, d):
     return R.nearest(A.vector_queries(spark, d), A.vectors(spark, d), k=2, per="source")
