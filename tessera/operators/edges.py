@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import npmi
+from ..sources.sinks import written
 
 
 def conceptual(signatures: DataFrame, cutoff: float = 0.35) -> DataFrame:
@@ -56,9 +59,29 @@ def co_variance(signatures: DataFrame, least: int = 5, floor: float = 0.40) -> D
     return got.select("a", "b", "n", F.abs("r").alias("weight"), F.when(F.col("r") < 0, -1).otherwise(1).alias("sign"))
 
 
+def _stretches(sections: DataFrame, *keys: str) -> DataFrame:
+    """``sections`` in stretches of the order by ``keys``, seq and section, of about equal size whatever
+    the keys: range-partitioned and written, with the number of its stretch as ``stretch``."""
+    order = [*keys, "seq", "section"]
+    ranged = sections.select(*order).repartitionByRange(*order)
+    stored = written(ranged.withColumn("stretch", F.spark_partition_id()), "stretches")
+    return stored.repartitionByRange("stretch")
+
+
+def _same(left: str, right: str, keys: tuple[str, ...]) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
+
+
 def _follow(sections: DataFrame, *keys: str) -> DataFrame:
-    after = F.lead("section").over(Window.partitionBy(*keys).orderBy("seq", "section"))
-    return sections.select(F.col("section").alias("src"), after.alias("dst")).where("dst IS NOT NULL")
+    """Each section and the next with the same keys. Within a stretch by a window; the last row of a
+    stretch is followed by the first of the next one that has rows (a row for each stretch)."""
+    order = F.struct(*keys, "seq", "section")
+    rows = _stretches(sections, *keys)
+    firsts = rows.groupBy("stretch").agg(F.min(order).alias("first"))
+    borders = firsts.select("stretch", F.lead("first").over(Window.orderBy("stretch")).alias("border"))
+    inside = rows.select("stretch", order.alias("own"), F.lead(order).over(Window.partitionBy("stretch").orderBy(*keys, "seq", "section")).alias("after"))
+    joined = inside.join(borders, "stretch").withColumn("after", F.coalesce("after", "border"))
+    return joined.where(F.col("after").isNotNull() & _same("own", "after", keys)).select(F.col("own.section").alias("src"), F.col("after.section").alias("dst"))
 
 
 def adjacency(sections: DataFrame) -> DataFrame:
@@ -71,23 +94,50 @@ def temporal(sections: DataFrame) -> DataFrame:
     return _follow(sections, "source")
 
 
+def _turns(sections: DataFrame) -> DataFrame:
+    """(section, source, turn): the place in the source's own order, from 1. Numbers within a stretch,
+    and what the stretches before it hold of the source (a row for each stretch and source in it)."""
+    rows = _stretches(sections, "source")
+    counts = rows.groupBy("stretch", "source").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("stretch", F.col("source").alias("of"), before.alias("before"))
+    own = F.row_number().over(Window.partitionBy("stretch", "source").orderBy("seq", "section"))
+    inside = rows.select("stretch", "section", "source", own.alias("own")).alias("r")
+    joined = inside.join(offsets.alias("o"), (F.col("r.stretch") == F.col("o.stretch")) & F.col("source").eqNullSafe(F.col("of")))
+    return joined.select("section", "source", (F.col("own") + F.col("before")).cast("int").alias("turn"))
+
+
+#: Turns that share a key when they look up what is ahead of them.
+_CHUNK = 65_536
+
+
 def reading_order(sections: DataFrame, interleaved: bool = True, done: DataFrame | None = None) -> DataFrame:
     """Places from 1: one section of each source in turn, or source after source; those that are
-    ``done(section)`` are left out first. A place follows from the turn and from how many sections each
-    source has (sources are few), so that no window runs over all."""
+    ``done(section)`` are left out first. A place follows from the turn and from how many sections
+    of each source come before: no window runs over all, or over a source.
+
+    Interleaved, a turn holds its sources in order, and comes after what the turns before it hold."""
     if done is not None:
         sections = sections.join(done, "section", "left_anti")
-    turn = F.row_number().over(Window.partitionBy("source").orderBy("seq", "section"))
-    sizes = sections.groupBy("source").agg(F.count("*").alias("n")).agg(F.sort_array(F.collect_list(F.struct("source", "n"))).alias("sizes"))
-    rows = sections.select("section", "source", turn.alias("turn")).join(F.broadcast(sizes))
-    before = lambda x: x["source"] < F.col("source")
-    if interleaved:
-        ahead = F.transform("sizes", lambda x: F.least(x["n"], F.col("turn") - 1) + (before(x) & (x["n"] >= F.col("turn"))).cast("long"))
-    else:
-        ahead = F.transform("sizes", lambda x: F.when(before(x), x["n"]).otherwise(F.lit(0)))
-    first = F.lit(1) if interleaved else F.col("turn")
-    place = F.aggregate(ahead, first.cast("long"), lambda t, x: t + x)
-    return rows.select("section", "source", "turn", place.alias("place"))
+    rows = written(_turns(sections), "turns")
+    sizes = rows.groupBy("source").agg(F.max("turn").cast("long").alias("n"))
+    if not interleaved:
+        before = F.coalesce(F.sum("n").over(Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        offsets = sizes.select(F.col("source").alias("of"), before.alias("before"))
+        placed = rows.join(offsets, F.col("source").eqNullSafe(F.col("of")))
+        return placed.select("section", "source", "turn", (F.col("turn") + F.col("before")).alias("place"))
+    # between two sizes every turn holds the same number of sources
+    ends = sizes.groupBy(F.col("n").alias("end")).agg(F.count("*").alias("stop"))
+    by_end = Window.orderBy("end")
+    spans = ends.select("end", (F.coalesce(F.lag("end").over(by_end), F.lit(0)) + 1).alias("start"), F.sum("stop").over(by_end.rowsBetween(0, Window.unboundedFollowing)).alias("width"))
+    held = (F.col("end") - F.col("start") + 1) * F.col("width")
+    ahead = F.coalesce(F.sum(held).over(by_end.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = spans.withColumn("ahead", ahead).withColumn("chunk", F.explode(F.sequence(F.floor(F.col("start") / _CHUNK), F.floor(F.col("end") / _CHUNK))))
+    nth = F.row_number().over(Window.partitionBy("chunk", "turn").orderBy("source"))
+    rows = rows.withColumn("chunk", F.floor(F.col("turn") / _CHUNK)).withColumn("nth", nth).alias("r")
+    inside = (F.col("r.chunk") == F.col("s.chunk")) & (F.col("turn") >= F.col("start")) & (F.col("turn") <= F.col("end"))
+    place = F.col("ahead") + (F.col("turn") - F.col("start")) * F.col("width") + F.col("nth")
+    return rows.join(spans.alias("s"), inside).select("section", "source", "turn", place.cast("long").alias("place"))
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

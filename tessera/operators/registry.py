@@ -54,18 +54,23 @@ def gate_fold(assignments: DataFrame, start: float = 0.55, most: float = 0.92, h
 
 
 def greedy_match(pairs: DataFrame, floor: float = 0.75) -> DataFrame:
-    """One-to-one matching of (run, a, b, score), best first, both ends free."""
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right, out = set(), set(), []
-        for r in pdf[pdf["score"] >= floor].sort_values(["score", "a", "b"], ascending=[False, True, True]).itertuples():
-            if r.a not in left and r.b not in right:
-                left.add(r.a)
-                right.add(r.b)
-                out.append((r.run, r.a, r.b, r.score))
-        return pd.DataFrame(out, columns=["run", "a", "b", "score"])
-
-    return pairs.groupBy("run").applyInPandas(match, "run string, a long, b long, score double")
+    """One-to-one matching of (run, a, b, score), best first, both ends free: (run, a, b, score).
+
+    By rounds over all runs at once: a pair that is the best of both its ends (ties: least a, then
+    least b) is what the greedy order would take, whatever else is taken; then all pairs of taken
+    ends go. Every round takes at least each run's best pair, and is written out. Pairs under
+    the floor, with a null score or end take no part; of a repeated pair the best score counts."""
+    order = F.struct((-F.col("score")).alias("less"), "a", "b")
+    known = pairs.where(F.col("score") >= floor).where("a IS NOT NULL AND b IS NOT NULL AND NOT isnan(score)")
+    left = written(known.groupBy("run", "a", "b").agg(F.max("score").alias("score")), "match")
+    taken = None
+    while not left.isEmpty():
+        best = lambda end: left.groupBy("run", end).agg(F.min(order).alias(f"best_{end}"))  # noqa: E731, B023
+        one = best("a").select("run", "best_a.*").join(best("b").select("run", "best_b.*"), ["run", "less", "a", "b"])
+        new = written(one.select("run", "a", "b", (-F.col("less")).alias("score")), "matched")
+        taken = new if taken is None else taken.unionByName(new)
+        left = written(left.join(new, ["run", "a"], "left_anti").join(new, ["run", "b"], "left_anti"), "match")
+    return left.select("run", "a", "b", "score") if taken is None else taken
 
 
 def closure(spark, merges: DataFrame, usage: DataFrame | None = None) -> DataFrame:

@@ -420,7 +420,11 @@ def registry_fold(spark, d):
     return G.gate_fold(lines.join(first, "key").drop("key"))
 
 
-@query()
+@query("WITH RECURSIVE " + _COS.format(n=1) + """, p AS MATERIALIZED (SELECT query AS a, id AS b, score, row_number() OVER (ORDER BY score DESC, query, id) AS n FROM cos WHERE query % 2 = 0 AND id % 2 <> 0 AND score >= 0.2),
+walk AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS l, []::BIGINT[] AS r, false AS took
+  UNION ALL SELECT p.n, CASE WHEN free THEN list_append(l, a) ELSE l END, CASE WHEN free THEN list_append(r, b) ELSE r END, free
+  FROM (SELECT p.n, a, b, l, r, NOT list_contains(l, a) AND NOT list_contains(r, b) AS free FROM walk JOIN p ON p.n = walk.n + 1) p)
+SELECT 'r' AS run, a, b, score FROM walk JOIN p USING (n) WHERE took""")
 def greedy_match(spark, d):
     # the two runs: vectors of even and of odd ids
     v = A.vectors(spark, d)

@@ -233,3 +233,40 @@ def test_lookup_in_all_its_ways(spark):
     plan = retrieval.lookup(refs, pages)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert retrieval.lookup(refs, pages.limit(0)).collect() == []
+
+
+def test_order_across_stretches(spark):
+    # one source has nearly all rows; stretches cut it, and books, at any place
+    rows = [(i, "ab"[i % 97 == 0], i % 3, i * 7919 % 1009) for i in range(2000)] + [(3000, None, 0, 1), (3001, None, 0, None)]
+    df = spark.createDataFrame(rows, "section int, source string, book int, seq int").repartition(7)
+    first = lambda x: (x is not None, x)
+    by = lambda *cols: sorted(rows, key=lambda r: [first(r[c]) for c in cols] + [first(r[3]), r[0]])
+    follow = lambda *cols: sorted((x[0], y[0]) for x, y in zip(by(*cols), by(*cols)[1:]) if all(x[c] == y[c] for c in cols))  # noqa: E731, B905
+    assert rows_of(edges.temporal(df)) == follow(1) and rows_of(edges.adjacency(df)) == follow(1, 2)
+    turn, n = {}, {}
+    for r in by(1):
+        n[r[1]] = n.get(r[1], 0) + 1
+        turn[r[0]] = n[r[1]]
+    want = sorted(rows, key=lambda r: (turn[r[0]], first(r[1])))
+    got = {r["section"]: (r["turn"], r["place"]) for r in edges.reading_order(df).collect()}
+    assert got == {r[0]: (turn[r[0]], i + 1) for i, r in enumerate(want)}
+    got = {r["section"]: r["place"] for r in edges.reading_order(df, interleaved=False).collect()}
+    assert got == {r[0]: i + 1 for i, r in enumerate(by(1))}
+    sizes = [r["n"] for r in edges._stretches(df, "source").groupBy("stretch").agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()))
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("rs"), st.integers(0, 6), st.integers(0, 6), st.integers(0, 4)), max_size=40))
+def test_match_by_rounds_is_the_greedy_one(spark, pairs):
+    df = spark.createDataFrame([(r, a, b, s / 4) for r, a, b, s in pairs] + [("r", None, 1, 1.0), ("s", 1, 1, None), ("r", 2, 2, float("nan"))], "run string, a long, b long, score double")
+    used, want = set(), []
+    for r, a, b, s in sorted(set(pairs), key=lambda p: (p[0], -p[3], p[1], p[2])):
+        if s >= 1 and (r, "a", a) not in used and (r, "b", b) not in used:
+            used |= {(r, "a", a), (r, "b", b)}
+            want.append((r, a, b, s / 4))
+    assert rows_of(registry.greedy_match(df, 0.25)) == sorted(want)
