@@ -14,9 +14,12 @@ from .operators import concepts as C
 from .operators import edges as E
 from .operators import registry as G
 from .operators import retrieval as R
+from .operators import rules as U
 from .operators import signatures as S
+from .operators import snapshot as N
 from .operators import termindex as T
 from .operators import vectors as V
+from .operators import watch
 from .plans import hybrid as H
 from .sources.sinks import shared_folder
 
@@ -703,3 +706,110 @@ def parallel_chapters(spark, d):
 SELECT section, CASE WHEN source = 'error' THEN 'own' WHEN s IN (SELECT s FROM x WHERE source = 'view') THEN 'shared' ELSE 'rest' END AS family FROM x""")
 def section_families(spark, d):
     return C.families(_chapters(spark, d), {"error": "own"}, "view", _RENAMES, "shared", "rest")
+
+
+_LOG = """log AS (SELECT event_id, ts, user_id AS run, CASE WHEN event_type = 'error' THEN CASE WHEN value < 4.5 THEN 'empty' ELSE 'retry' END ELSE 'done' END AS kind,
+  coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), -1) AS section, CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END AS minted, value * 2::DOUBLE AS elapsed, event_type AS concept FROM events)"""
+_WATCH = {"stall_minutes": 1_800, "registry_cap": 24, "mint_after": 40, "mint_most": 18, "stop_after": 40, "stop_share": 0.4, "retry_share": 0.2, "pace_abort": 125.0, "pace_warn": 100.0, "twins_most": 13}
+
+
+def _log(spark, d):
+    ev = A.table(spark, d, "events")
+    kind = F.when(F.col("event_type") != "error", "done").when(F.col("value") < 4.5, "empty").otherwise("retry")
+    return ev.select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("run"), kind.alias("kind"), F.get_json_object("props", "$.k").cast("long").alias("section"),
+        (F.col("event_type") == "signup").cast("long").alias("minted"), (F.col("value") * 2).alias("elapsed"), F.col("event_type").alias("concept"),
+    )
+
+
+@query(f"""WITH {_COS.format(n=1)}, {_LOG}, twins AS (SELECT label, count(*) AS twins FROM cos JOIN embeddings ON vec_id = query WHERE query < id AND score >= 0.3 AND source = label GROUP BY 1),
+a AS (SELECT *, row_number() OVER o AS ord, (epoch_us(ts) - lag(epoch_us(ts)) OVER o) // 1000000 AS silent_seconds FROM log WINDOW o AS (PARTITION BY run ORDER BY ts, event_id)),
+f AS (SELECT *, min(CASE WHEN kind = 'retry' THEN ord END) OVER (PARTITION BY run, section) AS first FROM a),
+z AS (SELECT run, max(ord) AS ord FROM f WHERE kind = 'done' GROUP BY 1),
+g AS (SELECT f.* FROM f JOIN z ON z.run = f.run AND f.ord <= z.ord),
+dn AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY ord DESC) AS back FROM g WHERE kind = 'done'),
+m AS (SELECT run, count(*) AS done, sum(minted) AS registry, sum(CASE WHEN back <= 100 THEN minted ELSE 0 END) AS mint, round(median(CASE WHEN back <= 20 THEN elapsed END), 4) AS pace,
+  count(DISTINCT CASE WHEN back <= 100 THEN section END) AS recent, count(DISTINCT CASE WHEN back <= 100 AND first < mx THEN section END) AS retried, max(CASE WHEN back = 1 THEN silent_seconds END) AS silent
+  FROM dn JOIN (SELECT run, ord AS mx FROM z) USING (run) GROUP BY run),
+e AS (SELECT run, count(*) FILTER (kind = 'empty') AS empty FROM g GROUP BY 1), s AS (SELECT run, max(n) AS stop FROM (SELECT run, concept, count(*) AS n FROM dn GROUP BY ALL) GROUP BY 1),
+y AS (SELECT run, done, empty, CAST(registry AS BIGINT) AS registry, concat_ws(',', CASE WHEN silent > 108000 THEN 'A1' END, CASE WHEN done + empty >= 30 AND empty / (done + empty) > 0.05::DOUBLE THEN 'A2' END, CASE WHEN registry > 24 OR (done >= 40 AND mint > 18) THEN 'A3' END,
+  CASE WHEN done >= 20 AND pace > 125 THEN 'A4' END, CASE WHEN done + empty >= 30 AND empty / (done + empty) > 0.02::DOUBLE AND empty / (done + empty) <= 0.05::DOUBLE THEN 'W0' END, CASE WHEN done >= 40 AND stop / done > 0.4::DOUBLE THEN 'W1' END,
+  CASE WHEN done >= 30 AND retried / recent > 0.2::DOUBLE THEN 'W2' END, CASE WHEN done >= 20 AND pace > 100 AND pace <= 125 THEN 'W3' END, CASE WHEN twins > 13 THEN 'W4' END) AS findings
+  FROM m JOIN e USING (run) JOIN s USING (run) LEFT JOIN twins ON label = run % 10)
+SELECT *, CASE WHEN contains(findings, 'A') THEN 2 WHEN findings <> '' THEN 1 ELSE 0 END AS level FROM y""")
+def watchdog(spark, d):
+    v = A.vectors(spark, d)
+    own = v.select(F.col("id").alias("a"), "source").join(R.similar_pairs(v, 0.3), "a").join(v.select(F.col("id").alias("b"), F.col("source").alias("other")), "b").where("source = other")
+    twins = own.groupBy(F.col("source").cast("long").alias("label")).agg(F.count("*").alias("twins"))
+    rows = watch.latest(watch.measures(_log(spark, d))).join(twins, F.col("run") % 10 == F.col("label"), "left")
+    return watch.verdicts(rows, _WATCH, F.coalesce("twins", F.lit(0))).select("run", "done", "empty", "registry", "findings", "level")
+
+
+_RULES = {
+    "orders": ("o_orderkey", {"status is known": "o_orderstatus IN ('O', 'F')", "priority has its form": "regexp_like(o_orderpriority, '^[1-5]-[A-Z ]+$')", "price is positive": "o_totalprice > 0", "price is not high": "o_totalprice < 400000"}),
+    "customer": ("c_custkey", {"name has its form": "regexp_like(c_name, '^Customer#[0-9]{9}$')", "account is not overdrawn": "c_acctbal >= 0"}),
+    "pages": ("page_id", {"address begins with http": "url LIKE 'http%'", "address has no fragment": "url NOT LIKE '%#%'", "page is not empty": "length(trim(html)) > 0"}),
+    "documents": ("doc_id", {"text is not blank": "length(trim(text)) > 0", "length is that of the text": "n_chars = length(text)", "language is known": "lang IN ('en', 'de', 'fr')"}),
+}
+_CHECK = "SELECT '{of}' AS of, '{rule}' AS rule, '{kind}' AS kind, count(*) AS checked, count(*) FILTER (NOT coalesce({holds}, false)) AS broken, CAST(min({key}) FILTER (NOT coalesce({holds}, false)) AS VARCHAR) AS first, CAST(max({key}) FILTER (NOT coalesce({holds}, false)) AS VARCHAR) AS last FROM {source}"
+
+
+_REFERENCES = (
+    ("orders", "customer is there", "o_custkey", "customer", "c_custkey"), ("orders", "order has lines", "o_orderkey", "lineitem", "l_orderkey"), ("lineitem", "order is there", "l_orderkey", "orders", "o_orderkey"),
+    ("documents", "document is labelled", "doc_id", "labels", "doc_id"), ("labels", "document is there", "doc_id", "documents", "doc_id"),
+)
+
+
+def _checks_sql():
+    each = [dict(of=t, rule=r, kind="row", holds=h.replace("regexp_like", "regexp_matches"), key=key, source=t) for t, (key, rules) in _RULES.items() for r, h in rules.items()]
+    for of, rule, keys in (("lineitem", "order and line are a key", ("l_orderkey", "l_linenumber")), ("orders", "customer and date are a key", ("o_custkey", "CAST(o_orderdate AS DATE)"))):
+        each.append(dict(of=of, rule=rule, kind="unique", holds="n = 1", key="k", source=f"(SELECT {keys[0]} || ':' || {keys[1]} AS k, count(*) AS n FROM {of} GROUP BY 1)"))
+    for of, rule, a, to, b in _REFERENCES:
+        each.append(dict(of=of, rule=rule, kind="reference", holds="there", key="k", source=f"(SELECT DISTINCT {a} AS k, {a} IN (SELECT {b} FROM {to}) AS there FROM {of} WHERE {a} IS NOT NULL)"))
+    each.append(dict(of="documents", rule="sections of a source are in range", kind="group", holds="n BETWEEN 20 AND 60", key="k", source="(SELECT source AS k, count(*) AS n FROM documents GROUP BY 1)"))
+    for rule, holds in (("weights sum to 1", "abs(w - 1) <= 0.01"), ("signature has 2 to 6 concepts", "n BETWEEN 2 AND 6")):
+        each.append(dict(of="signatures", rule=rule, kind="group", holds=holds, key="k", source="(SELECT section AS k, sum(weight) AS w, count(*) AS n FROM sig GROUP BY 1)"))
+    return f"WITH {_COARSE} " + " UNION ALL ".join(_CHECK.format(**e) for e in each)
+
+
+@query(_checks_sql())
+def constraints(spark, d):
+    t = lambda name: A.table(spark, d, name)
+    found = {name: [U.rows(t(name), key, rules)] for name, (key, rules) in _RULES.items()}
+    found["lineitem"] = [U.unique(t("lineitem"), ["l_orderkey", "l_linenumber"], "order and line are a key")]
+    found["orders"].append(U.unique(t("orders").withColumn("day", F.to_date("o_orderdate")), ["o_custkey", "day"], "customer and date are a key"))
+    for of, rule, a, to, b in _REFERENCES:
+        found.setdefault(of, []).append(U.references(t(of), a, t(to), b, rule))
+    found["documents"].append(U.groups(t("documents"), "source", {"sections of a source are in range": "n BETWEEN 20 AND 60"}, n=F.count("*")))
+    sums = {"weights sum to 1": "abs(w - 1) <= 0.01", "signature has 2 to 6 concepts": "n BETWEEN 2 AND 6"}
+    found["signatures"] = [U.groups(A.signatures(spark, d), "section", sums, w=F.sum("weight"), n=F.count("*"))]
+    return U.report(**found)
+
+
+_SNAP_BEST = """SELECT '{part}' AS part, printf('%02d ', row_number() OVER (ORDER BY round(w, 9) DESC, concept)) || name AS label, n, round(w, 2) AS value, NULL AS text FROM con {where} ORDER BY round(w, 9) DESC, concept LIMIT {k}"""
+
+
+@query(f"""WITH {_FINE}, {_SECTIONS}, base AS (SELECT * FROM sig JOIN sec USING (section)), reg AS (SELECT p_partkey AS concept, p_name AS name, p_type || ' ' || p_brand AS definition, p_retailprice AS created FROM part),
+con AS (SELECT concept, any_value(name) AS name, count(*) AS n, sum(weight) AS w, count(DISTINCT source) AS sources FROM base JOIN reg USING (concept) GROUP BY 1),
+per AS (SELECT section, source, count(*) AS n, max(weight) AS most FROM base GROUP BY ALL), tot AS (SELECT source, count(*) AS total, count(per.section) AS signed FROM sec LEFT JOIN per USING (section, source) GROUP BY 1),
+log AS (SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS section, CAST(event_type = 'signup' AS BIGINT) AS minted, CAST(event_type = 'error' AS BIGINT) AS rejected, ts, event_id FROM events),
+smp AS (SELECT section, source, row_number() OVER (PARTITION BY source ORDER BY seq DESC, section DESC) AS r FROM sec WHERE section IN (SELECT section FROM per) QUALIFY r <= 3)
+SELECT 'sections' AS part, 'signed' AS label, CAST(sum(signed) AS BIGINT) AS n, round(100 * sum(signed) / sum(total), 1) AS value, NULL::VARCHAR AS text FROM tot
+UNION ALL SELECT 'sections', 'total', sum(total), NULL, NULL FROM tot
+UNION ALL SELECT 'registry', 'concepts', count(*), round(0.92::DOUBLE - (0.92::DOUBLE - 0.55::DOUBLE) * 150 / (150 + count(*)), 3), NULL FROM reg
+UNION ALL SELECT 'mean', 'size', NULL, round(avg(n), 2), NULL FROM per UNION ALL SELECT 'mean', 'largest weight', NULL, round(avg(most), 3), NULL FROM per
+UNION ALL SELECT 'gate', 'created', sum(minted), NULL, NULL FROM log UNION ALL SELECT 'gate', 'rejected', sum(rejected), NULL, NULL FROM log
+UNION ALL SELECT 'span', CAST(sources AS VARCHAR), count(*), NULL, NULL FROM con GROUP BY sources
+UNION ALL SELECT 'reuse', CASE WHEN n <= 1 THEN 'once' WHEN n <= 5 THEN '2-5' WHEN n <= 20 THEN '6-20' ELSE '21+' END AS k, count(*), NULL, NULL FROM con GROUP BY k
+UNION ALL SELECT 'source', source, signed, round(100 * signed / total, 1), CAST(total AS VARCHAR) FROM tot
+UNION ALL SELECT 'size', CAST(n AS VARCHAR), count(*), NULL, NULL FROM per GROUP BY n
+UNION ALL ({_SNAP_BEST.format(part='top', where='', k=15)}) UNION ALL ({_SNAP_BEST.format(part='across', where='WHERE sources = (SELECT count(DISTINCT source) FROM sec)', k=12)})
+UNION ALL (SELECT 'newest', printf('%02d ', row_number() OVER (ORDER BY created DESC, concept)) || name, NULL, NULL, definition FROM reg ORDER BY created DESC, concept LIMIT 8)
+UNION ALL (SELECT 'oldest', printf('%02d ', row_number() OVER (ORDER BY created, concept)) || name, NULL, NULL, definition FROM reg ORDER BY created, concept LIMIT 8)
+UNION ALL SELECT 'sample', source || ' ' || r, section, NULL, left(string_agg(name || printf(' %.2f', weight), ' · ' ORDER BY round(weight, 9) DESC, name, weight), 320) FROM smp JOIN sig USING (section) JOIN reg USING (concept) GROUP BY source, r, section
+UNION ALL SELECT 'last', source, section, NULL, NULL FROM sec WHERE section = (SELECT section FROM log WHERE section IS NOT NULL ORDER BY ts DESC, event_id DESC LIMIT 1)""")
+def concept_snapshot(spark, d):
+    concepts = A.table(spark, d, "part").select(F.col("p_partkey").alias("concept"), F.col("p_name").alias("name"), F.concat_ws(" ", "p_type", "p_brand").alias("definition"), F.col("p_retailprice").alias("created"))
+    flag = lambda kind: (F.col("event_type") == kind).cast("long")
+    log = A.table(spark, d, "events").select(F.get_json_object("props", "$.k").cast("long").alias("section"), flag("signup").alias("minted"), flag("error").alias("rejected"), "ts", "event_id")
+    return N.snapshot(A.signatures(spark, d, fine=True), A.sections(spark, d), concepts, log)
