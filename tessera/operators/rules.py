@@ -37,7 +37,7 @@ def observed(df: DataFrame, key: str, holds: dict[str, Column | str]) -> tuple[D
 def unique(df: DataFrame, keys: list[str], rule: str) -> DataFrame:
     """Keys that more than one row has (a null is a key of its own)."""
     key = F.concat_ws(":", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
-    counted = df.groupBy(*keys).agg(F.count("*").alias("n")).select(key.alias("key"), "n")
+    counted = df.select(F.struct(*keys).alias("k"), key.alias("key")).groupBy("k", "key").agg(F.count("*").alias("n"))
     return rows(counted, "key", {rule: F.col("n") == 1}, "unique")
 
 
