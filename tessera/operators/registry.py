@@ -10,47 +10,74 @@ from pyspark.sql import functions as F
 from ..sources.sinks import written
 
 
-def gate_fold(assignments: DataFrame, start: float = 0.55, most: float = 0.92, half: float = 150.0) -> DataFrame:
+FOLDED = "run string, section long, concept string, weight double, minted boolean, threshold double"
+#: The gate: threshold of an almost empty registry, of a very large one, and the size halfway.
+START, MOST, HALF = 0.55, 0.92, 150.0
+
+
+class Registry:
+    """A run's registry: concepts in order of minting, with unit vectors in one growing matrix."""
+
+    def __init__(self, start: float = START, most: float = MOST, half: float = HALF):
+        self.gate, self.names, self.place, self.matrix = (start, most, half), [], {}, None
+
+    def add(self, concept: str, vector) -> None:
+        v, n = np.asarray(vector, float), len(self.names)
+        if self.matrix is None:
+            self.matrix = np.zeros((16, len(v)))
+        elif n == len(self.matrix):
+            self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
+        self.matrix[n] = v / max(np.linalg.norm(v), 1e-12)
+        self.place[concept] = n
+        self.names.append(concept)
+
+    def commit(self, run, section, rows: pd.DataFrame) -> list[tuple]:
+        """The kept weights of one section, as rows of ``FOLDED``."""
+        start, most, half = self.gate
+        n, got, minted = len(self.names), {}, set()
+        tau = 0.0 if n == 0 else most - (most - start) * half / (half + n)
+        for concept, confidence, weight, vector in zip(rows["concept"], rows["confidence"], rows["weight"], rows["embedding"], strict=True):
+            if not weight > 0:
+                continue
+            confidence = 0.5 if confidence is None or np.isnan(confidence) else confidence
+            if concept in self.place:
+                target = concept
+            elif confidence >= tau:
+                self.add(concept, vector)
+                minted.add(concept)
+                target = concept
+            elif self.names:
+                target = self.names[int((self.matrix[: len(self.names)] @ np.asarray(vector, float)).argmax())]
+            else:
+                continue
+            got[target] = got.get(target, 0.0) + weight
+        total = sum(got.values())
+        return [(run, section, c, w / total, c in minted, tau) for c, w in got.items()]
+
+
+def in_order(rows: pd.DataFrame):
+    """(section, rows) in order of ``ord`` and section, concepts by name."""
+    for (_, section), own in rows.sort_values(["ord", "section", "concept"], kind="stable").groupby(["ord", "section"], sort=True):
+        yield section, own
+
+
+def gate_fold(assignments: DataFrame, start: float = START, most: float = MOST, half: float = HALF) -> DataFrame:
     """Commit assignments in order under the rising novelty threshold.
 
     ``assignments(run, ord, section, concept, confidence, weight, embedding)``. The
     threshold of a section is fixed by the registry's size before its own new concepts; a
     known concept is kept, a new one enters at or over the threshold, else its weight
     goes to the nearest concept, or is lost while there is none. Serial by nature: each run
-    is one ordered fold; runs are independent groups. Weights are scaled to sum 1."""
-    schema = "run string, section long, concept string, weight double, minted boolean, threshold double"
+    is one ordered fold; runs are independent groups. Weights are scaled to sum 1. The stream
+    of ``streaming.registry`` takes a run batch by batch instead of whole."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        names: list[str] = []
-        known: dict[str, int] = {}
-        vectors: list[np.ndarray] = []
-        out = []
-        for (_, section), rows in pdf.sort_values(["ord", "concept"]).groupby(["ord", "section"], sort=True):
-            n, got, minted = len(names), {}, set()
-            tau = 0.0 if n == 0 else most - (most - start) * half / (half + n)
-            for concept, confidence, weight, vector in zip(rows["concept"], rows["confidence"], rows["weight"], rows["embedding"], strict=True):
-                if not weight > 0:
-                    continue
-                confidence = 0.5 if confidence is None or np.isnan(confidence) else confidence
-                if concept in known:
-                    target = concept
-                elif confidence >= tau:
-                    known[concept] = len(names)
-                    names.append(concept)
-                    v = np.asarray(vector, float)
-                    vectors.append(v / max(np.linalg.norm(v), 1e-12))
-                    minted.add(concept)
-                    target = concept
-                elif names:
-                    target = names[int((np.stack(vectors) @ np.asarray(vector, float)).argmax())]
-                else:
-                    continue
-                got[target] = got.get(target, 0.0) + weight
-            total = sum(got.values())
-            out += [(pdf["run"].iloc[0], section, c, w / total, c in minted, tau) for c, w in got.items()]
-        return pd.DataFrame(out, columns=["run", "section", "concept", "weight", "minted", "threshold"])
-
-    return assignments.groupBy("run").applyInPandas(fold, schema)
+        registry, out = Registry(start, most, half), []
+        for section, rows in in_order(pdf):
+            out += registry.commit(pdf["run"].iloc[0], section, rows)
+        return pd.DataFrame(out, columns=[c.split()[0] for c in FOLDED.split(", ")])
+
+    return assignments.groupBy("run").applyInPandas(fold, FOLDED)
 
 
 def greedy_match(pairs: DataFrame, floor: float = 0.75) -> DataFrame:

@@ -14,6 +14,8 @@ from tessera.operators import concepts, edges, registry, retrieval, signatures
 from tessera.queries import QUERIES
 from tessera.sources import corpora, sinks
 from tessera.streaming import monitor
+from tessera.streaming.registry import gate_stream
+from tessera.streaming.watch import STORE
 
 
 def rows(df):
@@ -270,3 +272,26 @@ def test_match_by_rounds_is_the_greedy_one(spark, pairs):
             used |= {(r, "a", a), (r, "b", b)}
             want.append((r, a, b, s / 4))
     assert rows_of(registry.greedy_match(df, 0.25)) == sorted(want)
+
+
+def test_registry_as_a_stream(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    kinds = "run string, ord long, section long, concept string, confidence double, weight double, embedding array<double>"
+    rows = [("ab"[i % 2], i // 6, i // 6, f"c{rng.integers(40)}", float(rng.random()) if i % 9 else None, float(rng.integers(0, 5)), rng.standard_normal(4).tolist()) for i in range(600)]
+    df = spark.createDataFrame(rows, kinds)
+    want = rows_of(registry.gate_fold(df))
+    assert 10 < sum(r[4] for r in want) < len(want)
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
+    try:
+        for cuts in ([0, 100], [0, 7, 8, 60, 100]):
+            at = f"{tmp_path}/{len(cuts)}"
+            for lo, hi in zip(cuts, cuts[1:]):  # noqa: B905
+                df.where(f"ord >= {lo} AND ord < {hi}").coalesce(1).write.mode("append").parquet(f"{at}/in")
+                stream = gate_stream(spark.readStream.schema(kinds).parquet(f"{at}/in"))
+                stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").option("path", f"{at}/out").trigger(availableNow=True).start().awaitTermination()
+            assert rows_of(spark.read.parquet(f"{at}/out")) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
