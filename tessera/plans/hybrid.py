@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
@@ -21,6 +21,32 @@ def run_retrieval(
     return R.fuse(lists, constant)
 
 
+#: Refs of a query that are looked up, in their order.
+MOST_REFS = 12
+
+
+def looked_up(refs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(query, id), a row for each page that a ref of (query, turn, ref) names. Of a query the first
+    ``MOST_REFS`` refs that are not blank count; a ref named twice counts twice."""
+    wanted = refs.withColumn("ref", F.trim("ref")).where("ref <> ''")
+    wanted = wanted.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("turn", "ref"))).where(F.col("n") <= MOST_REFS)
+    return wanted.join(R.lookup(wanted.select("ref"), passages), "ref").select("query", F.col("page").alias("id"))
+
+
+def answer_evidence(
+    pages: DataFrame, vectors: DataFrame, passages: DataFrame, terms: DataFrame, questions: DataFrame, refs: DataFrame,
+    relevance: DataFrame | None = None, budget: int = 8000, floor: int = 2,
+) -> DataFrame:
+    """The whole path of a question: term and vector lists, fused; a bonus for the pages that its refs
+    name; what was judged irrelevant (query, id, relevance) goes; then seats for each source and the
+    budget. ``pages(id, source, text)``; ``passages`` as for ``retrieval.lookup``."""
+    scores = run_retrieval(pages.withColumnRenamed("id", "page"), R.postings(pages.withColumnRenamed("id", "page")), vectors, terms, questions)
+    scores = R.merge_scores(scores, looked_up(refs, passages).withColumn("score", F.lit(1.0)))
+    if relevance is not None:
+        scores = R.gate(scores, relevance)
+    return evidence(scores, pages, budget, floor)
+
+
 def evidence(scores: DataFrame, pages: DataFrame, budget: int = 8000, floor: int = 2, looked_up: DataFrame | None = None, bonus: float = 1.0) -> DataFrame:
     """Pages within the budget: bonus for looked-up ones, ``floor`` seats for each source."""
     if looked_up is not None:

@@ -266,7 +266,14 @@ def source_floor(spark, d):
     return R.seats(R.nearest(A.vector_queries(spark, d), A.vectors(spark, d), per="source").drop("rank"))
 
 
-@query()
+#: Greedy fill of a budget: what of p(query, place, chars) is taken, one place after the other.
+_FILL = """walk AS (SELECT query, 1::BIGINT AS place, chars AS used, true AS took FROM p WHERE place = 1
+  UNION ALL SELECT query, place, CASE WHEN ok THEN used + chars ELSE used END, ok FROM (
+    SELECT w.query, p.place, used, chars, used < {budget} AND used + chars <= {budget} AS ok FROM walk w JOIN p ON p.query = w.query AND p.place = w.place + 1))"""
+
+
+@query(_SEATS.replace("WITH", "WITH RECURSIVE", 1) + f""", p AS MATERIALIZED (SELECT *, CAST(100 + id % 400 AS BIGINT) AS chars, row_number() OVER (PARTITION BY query ORDER BY seat DESC, score DESC, id) AS place FROM s),
+{_FILL.format(budget=3000)} SELECT query, id, score, chars FROM walk JOIN p USING (query, place) WHERE took""")
 def budget_truncate(spark, d):
     placed = R.seats(R.nearest(A.vector_queries(spark, d), A.vectors(spark, d), per="source").drop("rank"))
     return R.fill(placed.withColumn("chars", F.lit(100) + F.col("id") % 400), 3000)
@@ -441,7 +448,11 @@ def closure(spark, d):
     return G.closure(spark, merges)
 
 
-@query()
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id AS run, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+walk AS (SELECT run, event_id, 1::BIGINT AS n, [value] AS kept, true AS accepted FROM e WHERE n = 1
+  UNION ALL SELECT run, event_id, n, CASE WHEN ok THEN list_append(kept, value) ELSE kept END, ok FROM (
+    SELECT e.run, e.event_id, e.n, e.value, w.kept, e.value <= 4 * list_aggregate(w.kept[-60:], 'median') AS ok FROM walk w JOIN e ON e.run = w.run AND e.n = w.n + 1))
+SELECT run, event_id, accepted, list_aggregate(kept[-60:], 'median') AS median FROM walk""")
 def rolling_median(spark, d):
     return G.rolling_median(A.events(spark, d))
 
@@ -600,6 +611,33 @@ def hybrid_query(spark, d):
     return H.run_retrieval(pages, R.postings(pages), A.vectors(spark, d), terms, A.vector_queries(spark, d))
 
 
+_REFS = ((0, 1, "src3 2:1-9"), (0, 2, "src 7 1"), (0, 3, "nowhere 3"), (100, 1, "Al-Src11 4:2"), (100, 2, " "), (100, 3, "src11 4"), (200, 1, None), (300, 1, "src1 0:0 - 40"))
+
+
+@query(ORACLES["hybrid_query"].replace("WITH ", "WITH RECURSIVE ", 1).replace("SELECT query, id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score", ", fused AS (SELECT query, id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score", 1) + f"""),
+refs AS (SELECT * FROM (VALUES (0, 'src3', 2, 1, 9), (0, 'src7', 1, NULL, NULL), (100, 'src11', 4, 2, 2), (100, 'src11', 4, NULL, NULL), (300, 'src1', 0, 0, 40)) v(query, source, chapter, a, b)),
+hit AS (SELECT query, doc_id AS id FROM refs JOIN documents USING (source) WHERE doc_id % 5 = chapter AND (a IS NULL OR (doc_id // 20 <= b AND doc_id // 20 + 2 >= a))
+  QUALIFY row_number() OVER (PARTITION BY query, source, chapter, a ORDER BY doc_id // 20, doc_id) <= 6),
+added AS (SELECT query, id, sum(score) AS score FROM (SELECT * FROM fused UNION ALL SELECT query, id, 1.0 FROM hit) GROUP BY ALL),
+rel AS (SELECT query, id, (id % 10) / 10 AS rel FROM (SELECT query, id FROM cos QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 8) WHERE id % 3 <> 0),
+judged AS (SELECT query, id, score + coalesce(rel, 0.5) AS score FROM added LEFT JOIN rel USING (query, id) WHERE coalesce(rel, 1) >= 0.35::DOUBLE),
+k AS (SELECT query, id, source, CAST(len(text) AS BIGINT) AS chars, judged.score FROM judged JOIN documents ON doc_id = id), st AS (SELECT *, row_number() OVER (PARTITION BY query, source ORDER BY score DESC, id) <= 2 AS seat FROM k),
+p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query ORDER BY seat DESC, score DESC, id) AS place FROM st),
+{_FILL.format(budget=8000)} SELECT query, id, round(score, 6) AS score, chars FROM walk JOIN p USING (query, place) WHERE took""")
+def evidence(spark, d):
+    docs = A.documents(spark, d)
+    pages = docs.select(F.col("section").alias("id"), "source", "text")
+    first = F.floor(F.col("section") / 20).cast("int")
+    passages = docs.select(F.col("section").alias("page"), F.col("source").alias("book"), (F.col("section") % 5).cast("int").alias("chapter"), first.alias("first_verse"), (first + 2).alias("last_verse"))
+    terms = spark.createDataFrame([(q, p) for p, q in _ASKED], "query long, phrase string")
+    questions = A.vector_queries(spark, d)
+    # what was judged: the eight nearest pages
+    relevance = R.nearest(questions, A.vectors(spark, d), 8, other=False).where("id % 3 <> 0").select("query", "id", (F.col("id") % 10 / 10).alias("relevance"))
+    refs = spark.createDataFrame(_REFS, "query long, turn int, ref string")
+    got = H.answer_evidence(pages, A.vectors(spark, d), passages, terms, questions, refs, relevance)
+    return got.withColumn("score", F.round("score", 6))
+
+
 @query(f"""WITH {_COS.format(n=100)}, one AS (SELECT query, id, score FROM cos QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 8),
 two AS (SELECT query, id, score + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END AS score FROM cos QUALIFY row_number() OVER (PARTITION BY query, source ORDER BY score DESC, id) <= 2),
 j AS (SELECT query, id, one.score AS s1, two.score AS s2, CASE WHEN one.score IS NOT NULL AND id % 3 <> 0 THEN (id % 10) / 10 END AS rel, one.score IS NOT NULL AS was FROM one FULL JOIN two USING (query, id))
