@@ -21,6 +21,16 @@ def signatures(spark: SparkSession, sf_dir: str, fine: bool = False) -> DataFram
     return S.normalise(lines.join(parts, "l_partkey"))
 
 
+def page_signatures(spark: SparkSession, sf_dir: str, fine: bool = True) -> DataFrame:
+    """Signatures of the sections that hold three vectors (or some documents) each: the lines of the
+    orders with one remainder are a section, so that searches by concepts and by vectors meet."""
+    lines = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 160).alias("section"), "l_partkey", F.col("l_extendedprice").alias("weight"))
+    if fine:
+        return S.normalise(lines.withColumnRenamed("l_partkey", "concept"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("concept"))
+    return S.normalise(lines.join(parts, "l_partkey"))
+
+
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """section = order, book = customer, source = region, seq = date."""
     nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))

@@ -45,22 +45,23 @@ def _block_best(k: int, per: str | None, floor: float | None, other: bool) -> Ca
 
     def run(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         asked, names = asked.rename(columns=lambda c: c.removeprefix("q_")), ["query", *([per] if per else []), "id", "score"]
-        parts = [pd.DataFrame({n: [] for n in names})]
+        parts = []
         if len(asked) and len(rows):
             for qs, vs in _by_dim(asked, "q", rows, "v"):
                 for value, group in vs.groupby(per, dropna=False) if per else ((None, vs),):
-                    u, ids = _units(group["v"]), group["id"].to_numpy()
+                    u, ids = _units(group["v"]), group["id"].to_numpy(dtype=object if group["id"].dtype.kind not in "iuf" else None)
                     for at in range(0, len(qs), 512):
                         some = qs.iloc[at : at + 512]
                         scores = np.round(_units(some["q"]) @ u.T, 6)
-                        asks = some["query"].to_numpy()
+                        asks = some["query"].to_numpy(dtype=object if some["query"].dtype.kind not in "iuf" else None)
                         if other:
                             scores[asks[:, None] == ids[None, :]] = -np.inf
                         if floor is not None:
                             scores[scores < floor] = -np.inf
                         i, j = _best(scores, ids, k)
-                        parts.append(pd.DataFrame({"query": asks[i], **({per: value} if per else {}), "id": ids[j], "score": scores[i, j]}))
-        return pd.concat([p for p in parts if len(p)] or parts[:1])
+                        parts.append([asks[i], *([np.full(len(i), value, object)] if per else []), ids[j], scores[i, j]])
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [[] for _ in names]
+        return pd.DataFrame({n: pd.Series(c, dtype=getattr(c, "dtype", object)) for n, c in zip(names, columns, strict=True)})
 
     return run
 

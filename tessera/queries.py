@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from . import adapters as A
 from .functions import scores, text
+from .functions import blobs
 from .operators import concepts as C
+from .operators import dossiers as O
 from .operators import edges as E
+from .operators import merging as M
 from .operators import registry as G
 from .operators import retrieval as R
 from .operators import rules as U
@@ -536,7 +539,10 @@ near AS (SELECT * FROM (SELECT a AS src, b AS dst, npmi FROM npmi WHERE npmi >=
   QUALIFY row_number() OVER (PARTITION BY src ORDER BY npmi DESC, dst) <= 2),
 matched AS (SELECT * FROM (SELECT query, concept, score, NULL AS via FROM seeds UNION ALL SELECT query, dst, score * npmi * 0.5::DOUBLE, concept FROM seeds JOIN near ON src = concept)
   QUALIFY row_number() OVER (PARTITION BY query, concept ORDER BY score DESC, via NULLS FIRST) = 1)"""
-_SIGNAL = f"""{_MATCHED}, scored AS (SELECT query, section, round(sum(score * weight), 6) AS score FROM matched JOIN sig USING (concept) GROUP BY ALL),
+_PAGE_SIG = """psig AS (
+  SELECT section, concept, w / sum(w) OVER (PARTITION BY section) AS weight FROM (
+    SELECT l_orderkey % 160 AS section, l_partkey AS concept, sum(l_extendedprice) AS w FROM lineitem GROUP BY ALL))"""
+_SIGNAL = f"""{_MATCHED}, {_PAGE_SIG}, scored AS (SELECT query, section, round(sum(score * weight), 6) AS score FROM matched JOIN psig USING (concept) GROUP BY ALL),
 signal AS (SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, section) AS INTEGER) AS "rank", section, score FROM scored QUALIFY "rank" <= 8)"""
 _FUSED = """l AS (
   SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS r FROM cos QUALIFY r <= 8
@@ -556,7 +562,7 @@ def _matched(spark, d):
 
 
 def _signal(spark, d):
-    return C.search(_matched(spark, d), A.signatures(spark, d, fine=True))
+    return C.search(_matched(spark, d), A.page_signatures(spark, d))
 
 
 @query(f"{_MATCHED} SELECT query, concept, round(score, 6) AS score, via FROM matched")
@@ -565,7 +571,7 @@ def concept_match(spark, d):
 
 
 @query(f"""{_SIGNAL}, ev AS (SELECT query, section, row_number() OVER (PARTITION BY query, section ORDER BY round(m.score * weight, 6) DESC, concept) AS r, concept
-  FROM matched m JOIN sig USING (concept) SEMI JOIN signal USING (query, section) QUALIFY r <= 8)
+  FROM matched m JOIN psig USING (concept) SEMI JOIN signal USING (query, section) QUALIFY r <= 8)
 SELECT query, "rank", section, score, string_agg(CAST(concept AS VARCHAR), ' ' ORDER BY r) AS evidence FROM signal JOIN ev USING (query, section) GROUP BY ALL""")
 def concept_signal(spark, d):
     return _signal(spark, d).withColumn("evidence", F.array_join(F.transform("evidence", lambda c: c.cast("string")), " "))
@@ -851,3 +857,93 @@ def concept_snapshot(spark, d):
     flag = lambda kind: (F.col("event_type") == kind).cast("long")
     log = A.table(spark, d, "events").select(F.get_json_object("props", "$.k").cast("long").alias("section"), flag("signup").alias("minted"), flag("error").alias("rejected"), "ts", "event_id")
     return N.snapshot(A.signatures(spark, d, fine=True), A.sections(spark, d), concepts, log)
+
+
+# A pair of which the sum is divisible by 4 is kept by an answer, one with remainder 1 is merged by one.
+@query("WITH RECURSIVE " + _COS.format(n=1) + f""", {_FINE}, us AS (SELECT concept, count(*) AS n FROM sig GROUP BY 1),
+p AS (SELECT query AS a, id AS b, coalesce(x.n, 0) AS na, coalesce(y.n, 0) AS nb, CASE (query + id) % 4 WHEN 0 THEN false WHEN 1 THEN true ELSE score >= 0.42 END AS m
+  FROM cos LEFT JOIN us x ON x.concept = query LEFT JOIN us y ON y.concept = id WHERE query < id AND score >= 0.35),
+e AS MATERIALIZED (SELECT a AS x, b AS y FROM p WHERE m UNION SELECT b, a FROM p WHERE m), reach AS (SELECT x, x AS y FROM e UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x),
+lost AS (SELECT DISTINCT CASE WHEN na >= nb THEN b ELSE a END AS id FROM p WHERE m),
+best AS (SELECT x AS concept, y AS winner FROM reach LEFT JOIN us ON concept = y QUALIFY row_number() OVER (PARTITION BY x ORDER BY coalesce(n, 0) DESC, y IN (SELECT id FROM lost), y) = 1),
+moved AS (SELECT DISTINCT section, coalesce(winner, sig.concept) AS concept FROM sig LEFT JOIN best ON best.concept = sig.concept), after AS (SELECT concept, count(*) AS n FROM moved GROUP BY 1)
+SELECT us.concept, coalesce(winner, us.concept) AS winner, us.n, after.n AS n_after FROM us LEFT JOIN best ON best.concept = us.concept JOIN after ON after.concept = coalesce(winner, us.concept)""")
+def merge_pass(spark, d):
+    sig = A.signatures(spark, d, fine=True)
+    pairs = M.shortlist(A.vectors(spark, d), M.usage(sig), 0.35)
+    rest = (F.col("a") + F.col("b")) % 4
+    after, winners = M.apply(spark, sig, M.decide(pairs, pairs.where(rest < 2).select(F.col("b").alias("a"), F.col("a").alias("b"), (rest == 1).alias("merge")), 0.42))
+    return M.census(sig, after, winners)
+
+
+@query("WITH " + _COS.format(n=1) + f""", {_PAGE_SIG}, dr AS (SELECT vec_id AS query, vec_id // 3 AS draft, CASE WHEN vec_id % 3 = 0 THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END AS weight FROM embeddings WHERE vec_id // 3 % 10 = 0 AND vec_id % 3 < 2),
+b AS (SELECT query, draft, source, id // 3 AS section, id AS page, score FROM cos JOIN dr USING (query) WHERE score >= 0.2 AND id // 3 <> draft QUALIFY row_number() OVER (PARTITION BY query, source, id // 3 ORDER BY score DESC, id) = 1),
+h AS (SELECT *, CAST(row_number() OVER (PARTITION BY query, source ORDER BY score DESC, page) AS INTEGER) AS "rank" FROM b QUALIFY "rank" <= 2),
+o AS (SELECT draft, section, sum(least(dr.weight, psig.weight)) AS o FROM (SELECT DISTINCT draft, section FROM h) JOIN dr USING (draft) JOIN psig USING (section) WHERE psig.concept = dr.query GROUP BY ALL)
+SELECT draft, query AS concept, source, "rank", section, page, score, CASE WHEN section IN (SELECT section FROM psig) THEN round(coalesce(o, 0), 6) END AS overlap FROM h LEFT JOIN o USING (draft, section)""")
+def draft_evidence(spark, d):
+    v = A.vectors(spark, d)
+    pages = v.select("id", _page_section().alias("section"), "source", "v")
+    own = F.col("id") % 3
+    drafts = pages.where((F.col("section") % 10 == 0) & (own < 2)).select(F.col("section").alias("draft"), F.col("id").alias("query"), F.col("id").alias("concept"), F.when(own == 0, 0.6).otherwise(0.4).alias("weight"), F.col("v").alias("q"))
+    return O.gather(drafts, pages, A.page_signatures(spark, d), floor=0.2)
+
+
+@query(f"""WITH {_PAGE_SIG.replace("l_partkey AS concept", "p_brand AS concept").replace("FROM lineitem", "FROM lineitem JOIN part ON l_partkey = p_partkey")},
+s AS (SELECT section, string_agg(concept || printf(' %.2f', weight), ', ' ORDER BY round(weight, 9) DESC, concept) AS s FROM psig WHERE concept <> 'Brand#7' GROUP BY 1),
+e AS (SELECT doc_id AS page, '[' || doc_id || '] ' || source || ':' || doc_id || ' (' || source || ')' || coalesce('  signature: ' || s, '') || chr(10) || CASE WHEN len(text) > 300 THEN left(text, 300) || ' [...]' ELSE text END AS entry FROM documents LEFT JOIN s ON section = doc_id % 170)
+SELECT page, len(entry) AS chars, md5(entry) AS entry_md5 FROM e""")
+def context_entries(spark, d):
+    pages = A.documents(spark, d).select(F.col("section").alias("id"), (F.col("section") % 170).alias("section"), "source", F.format_string("%s:%d", "source", "section").alias("ref"), "text")
+    sig = A.page_signatures(spark, d, fine=False)
+    known = sig.select("concept").distinct().where("concept <> 'Brand#7'").withColumn("name", F.col("concept"))
+    return O.entries(pages, sig, known, 300).select("page", F.length("entry").cast("long").alias("chars"), F.md5("entry").alias("entry_md5"))
+
+
+_HEDGES, _PROVISIONAL = ("the", "que ", "und"), ("tion", "ment ")
+_MARKED = lambda markers: " + ".join(f"CAST((len(lower(text)) - len(replace(lower(text), '{m}', ''))) / {len(m)} AS BIGINT)" for m in markers)
+
+
+@query(f"""SELECT doc_id AS report, words, hedges, round(1000 * hedges / words, 1) AS hedges_per_1k, provisional FROM (
+SELECT doc_id, CAST(greatest(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 1) AS BIGINT) AS words, {_MARKED(_HEDGES)} AS hedges, {_MARKED(_PROVISIONAL)} AS provisional FROM documents)""")
+def report_metrics(spark, d):
+    return O.report_metrics(A.documents(spark, d).withColumnRenamed("section", "report"), _HEDGES, _PROVISIONAL)
+
+
+@query("""SELECT l_orderkey AS report, CASE WHEN p_type LIKE 'ECONOMY%' THEN 'first' WHEN p_type LIKE 'SMALL%' THEN 'second' WHEN p_type LIKE 'PROMO%' THEN 'third' ELSE 'unknown' END AS family,
+count(*) AS citations, count(*) FILTER (l_returnflag = 'R') AS quotes FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL""")
+def citation_mix(spark, d):
+    parts = A.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws(":", "p_type", "p_partkey").alias("page"))
+    cited = A.table(spark, d, "lineitem").join(parts, "l_partkey").select(F.col("l_orderkey").alias("report"), "page", (F.col("l_returnflag") == "R").alias("quote"))
+    return O.mix(cited, {"ECONOMY": "first", "SMALL": "second", "PROMO": "third"})
+
+
+@query(f"""{_SIGNAL}, {_FUSED}, f AS (SELECT query, b.section AS l, s.section AS r FROM base b FULL JOIN signal s USING (query, section)),
+c AS (SELECT query, count(r) - count(l + r) AS novel, round(count(l + r) / count(*), 6) AS jaccard FROM f GROUP BY 1), m AS (SELECT query, count(*) AS n, count(via) AS via FROM matched GROUP BY 1)
+SELECT count(*) AS queries, count(*) FILTER (n > 0) AS matched, round(avg(jaccard), 3) AS mean_jaccard, round(avg(novel), 2) AS mean_novel, count(*) FILTER (via > 0) AS by_graph FROM c LEFT JOIN m USING (query)""")
+def signal_battery(spark, d):
+    return O.battery(C.compare_buckets(_base_sections(spark, d), _signal(spark, d)), _matched(spark, d))
+
+
+@query("""SELECT vec_id, octet AS bytes, CASE WHEN octet % 4 <> 0 THEN octet || ' bytes are no whole number of components' WHEN octet <> 4 * 64 THEN (octet // 4) || ' components, not 64' END AS fault,
+CASE WHEN octet = 4 * 64 THEN list_transform(embedding, lambda x: CAST(x AS DOUBLE))[1] END AS first, CASE WHEN octet = 4 * 64 THEN round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) END AS total
+FROM (SELECT vec_id, embedding, 4 * len(embedding) - CASE WHEN vec_id % 7 = 3 THEN 1 WHEN vec_id % 7 = 5 THEN 4 ELSE 0 END AS octet FROM embeddings)""")
+def blob_codec(spark, d):
+    # of some blobs a byte, or a component, is missing
+    blob = blobs.to_blob("v")
+    short = F.when(F.col("id") % 7 == 3, 1).when(F.col("id") % 7 == 5, 4).otherwise(0)
+    rows = A.vectors(spark, d).select(F.col("id").alias("vec_id"), blob.alias("whole"), short.alias("short"))
+    rows = rows.select("vec_id", F.substring("whole", F.lit(1), F.octet_length("whole") - F.col("short")).alias("blob"))
+    rows = rows.select("vec_id", F.octet_length("blob").cast("long").alias("bytes"), blobs.from_blob(F.col("blob"), 64).alias("x"))
+    total = F.aggregate("x.vector", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return rows.select("vec_id", "bytes", "x.fault", F.get("x.vector", F.lit(0)).cast("double").alias("first"), F.round(total, 6).alias("total"))
+
+
+@query("""WITH p AS (SELECT c_custkey AS query, [('en', [c_name, ' ', lower(c_mktsegment) || ' ', 'x' || c_custkey, 'more']), ('fr', [' ' , CASE WHEN c_nationkey % 2 = 0 THEN 'pair' ELSE '' END, 'fin'])] AS m FROM customer),
+u AS (SELECT query, unnest(m) AS e FROM p), k AS (SELECT query, e[1] AS lang, list_filter(list_transform(e[2], lambda v: trim(v)), lambda v: v <> '')[1:3] AS vs FROM u)
+SELECT query, lang, CAST(unnest(range(len(vs))) AS INTEGER) AS n, unnest(vs) AS value FROM k""")
+def flat_plan(spark, d):
+    c = A.table(spark, d, "customer")
+    first = F.array("c_name", F.lit(" "), F.concat(F.lower("c_mktsegment"), F.lit(" ")), F.concat(F.lit("x"), F.col("c_custkey").cast("string")), F.lit("more"))
+    second = F.array(F.lit(" "), F.when(F.col("c_nationkey") % 2 == 0, "pair").otherwise(""), F.lit("fin"))
+    return O.flatten_plan(c.select(F.col("c_custkey").alias("query"), F.create_map(F.lit("en"), first, F.lit("fr"), second).alias("terms")), "terms", 3)
