@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import book_keys, parse_ref, ref_keys
+from ..sources.sinks import written
 from .termindex import tokens
 from .vectors import nearest, pairs_between, similar_pairs  # noqa: F401
 
@@ -50,12 +51,16 @@ def bm25(index: DataFrame, queries: DataFrame, k: int = 8, key: str = "page", k1
     """Best pages for each query phrase, (query, phrase); terms must follow one another.
 
     The phrase is one unit, as in a full-text index: its frequency and document
-    frequency enter the formula. Higher is better. Only occurrences of the queries' terms are
-    grouped; of the other tokens no row leaves its task."""
-    totals = index.where("length > 0").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    frequency enter the formula. Higher is better. The texts are read once: the terms of the
+    stated queries go to the driver, and of each page its length and their places are written."""
     terms = queries.select("query", tokens(F.col("phrase")).alias("t"))
     terms = terms.select("query", F.size("t").alias("m"), F.posexplode("t").alias("i", "term"))
-    hits = index.select(key, "length", F.posexplode("t").alias("p", "term")).join(terms, "term")
+    asked = [r[0] for r in terms.select("term").distinct().collect()]
+    places = F.filter(F.sequence(F.lit(0), F.col("length") - 1), lambda i: F.get("t", i).isin(asked))
+    seen = index.where("length > 0").select(key, "length", F.transform(places, lambda i: F.struct(i.alias("p"), F.get("t", i).alias("term"))).alias("places"))
+    seen = written(seen, "asked-terms")
+    totals = seen.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    hits = seen.select(key, "length", F.explode("places").alias("h")).select(key, "length", "h.*").join(terms, "term")
     starts = hits.groupBy("query", "m", key, "length", (F.col("p") - F.col("i")).alias("start")).agg(F.count("*").alias("c")).where("c = m")
     tf = starts.groupBy("query", key, "length").agg(F.count("*").alias("tf"))
     df = tf.groupBy("query").agg(F.count("*").alias("df"))
