@@ -92,6 +92,25 @@ def test_bitsliced_odd_vectors(spark):
         assert at.tolist() == want and s.tolist() == every[want].tolist()
 
 
+def test_bitsliced_twins_and_wide_components(spark):
+    rows = [(50, [1.0, 2.0]), (50, [1.0, 2.0]), (50, [-1.0, 0.5]), (1, [2.0**54, 0.0]), (2, [-(2.0**54), 3.0]), (3, [0.0, 2.0**-8]), (100, [0.0, 1.0]), (4, [2.0**1020, 0.0]), (150, [0.0, 0.0])]
+    rows[0:0] = [(6, [2.0**40, -1.0])]
+    exact = [(i, [int(c) * 256 if abs(c) >= 2**53 else int(np.floor(c * 256)) for c in x]) for i, x in rows]
+    want = []
+    for n, (i, x) in enumerate(exact):
+        if i in (100, 150):
+            found = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), j) for m, (j, y) in enumerate(exact) if m != n)[:5]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(found)]
+    vectors = lambda r: spark.createDataFrame(r, "vec_id long, embedding array<double>")
+    got = bitsliced.top_k(vectors(rows), (F.col("vec_id") % 50 == 0) & (F.col("vec_id") > 50))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    # each row of an id is a query, and its twins are candidates
+    twins = [(50, [1.0, 2.0]), (50, [1.0, 2.0]), (50, [-1.0, 0.5]), (7, [0.25, 0.25])]
+    got = sorted(map(tuple, bitsliced.top_k(vectors(twins), F.col("vec_id") % 50 == 0, k=3).collect()))
+    near = [(50, 1, 50, 5 * 65536), (50, 2, 7, 49152), (50, 3, 50, 0)]
+    assert got == sorted([*near, *near, (50, 1, 50, 0), (50, 2, 50, 0), (50, 3, 7, -8192)])
+
+
 def test_repeated_words_brute_force():
     rng = random.Random(2)
     for _ in range(50):
