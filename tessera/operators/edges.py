@@ -17,15 +17,28 @@ def conceptual(signatures: DataFrame, cutoff: float = 0.35) -> DataFrame:
     Exact prefix filter: with a section's concepts in ascending order of use, a pair at
     the cutoff shares a concept at which either side still has the cutoff's weight left.
     Only such rows are joined, so hub concepts, which stand last, make few candidates.
-    """
+
+    A row of the join carries its section's whole signature, so that nothing of a candidate is
+    shuffled: a pair counts where it meets first, its overlap is bounded by what is left there
+    (nothing but the concept itself, if what comes after it has none in common), and what the
+    bound leaves is added up in place."""
+    least = cutoff - 1e-9
     use = signatures.groupBy("concept").agg(F.count("*").alias("use"))
-    rest = Window.partitionBy("section").orderBy("use", "concept").rowsBetween(0, Window.unboundedFollowing)
-    prefix = signatures.join(use, "concept").withColumn("rest", F.sum("weight").over(rest)).where(F.col("rest") >= cutoff - 1e-9)
-    a, b = (prefix.select("concept", F.col("section").alias(x)) for x in ("a", "b"))
-    pairs = a.join(b, "concept").where("a < b").select("a", "b").distinct()
-    left = pairs.join(signatures.select(F.col("section").alias("a"), "concept", F.col("weight").alias("wa")), "a")
-    both = left.join(signatures.select(F.col("section").alias("b"), "concept", F.col("weight").alias("wb")), ["b", "concept"])
-    found = both.groupBy("a", "b").agg(F.sum(F.least("wa", "wb")).alias("overlap"), F.count("*").alias("shared"))
+    rest = F.sum("weight").over(Window.partitionBy("section").orderBy("use", "concept").rowsBetween(0, Window.unboundedFollowing))
+    entry = F.struct("use", "concept", "weight", rest.alias("rest"))
+    whole = signatures.join(use, "concept").select("section", entry.alias("e")).groupBy("section").agg(F.sort_array(F.collect_list("e")).alias("e"))
+    whole = whole.select("section", F.col("e.concept").alias("c"), F.col("e.weight").alias("w"), F.filter(F.col("e.rest"), lambda r: r >= least).alias("left"))
+    met = whole.select("section", "c", "w", F.posexplode("left").alias("at", "rest"))
+    after = F.slice("c", F.col("at") + 2, F.size("c"))
+    met = met.select(F.get("c", "at").alias("concept"), "section", "at", F.get("w", "at").alias("own"), "rest", after.alias("after"), "c", "w")
+    a, b = (met.select("concept", *[F.col(c).alias(f"{c}_{x}") for c in met.columns[1:]]) for x in ("a", "b"))
+    own, over = F.least("own_a", "own_b"), F.least(F.col("rest_a") - F.col("own_a"), F.col("rest_b") - F.col("own_b"))
+    pairs = a.join(b, "concept").where(F.col("section_a") < F.col("section_b")).where((own >= least) | ((own + over >= least) & F.arrays_overlap("after_a", "after_b")))
+    both = F.array_intersect("c_a", "c_b")
+    pairs = pairs.withColumn("both", both).where(F.get("both", F.lit(0)) == F.col("concept"))
+    weight = lambda x, c: F.get(f"w_{x}", (F.array_position(f"c_{x}", c) - 1).cast("int"))
+    overlap = F.aggregate("both", F.lit(0.0), lambda s, c: s + F.least(weight("a", c), weight("b", c)))
+    found = pairs.select(F.col("section_a").alias("a"), F.col("section_b").alias("b"), overlap.alias("overlap"), F.size("both").cast("long").alias("shared"))
     return found.where(F.round("overlap", 9) >= cutoff)
 
 

@@ -1,4 +1,5 @@
 import math
+import re
 import zipfile
 
 import numpy as np
@@ -54,6 +55,14 @@ def test_prefix_filter_is_exact(spark, entries):
     assert signatures.violations(sig).count() == 0
 
 
+def test_overlap_candidates_are_not_shuffled(spark):
+    sig = spark.createDataFrame([(1, 7, 0.5), (1, 8, 0.5), (2, 7, 0.3), (2, 8, 0.7)], "section int, concept int, weight double")
+    found = edges.conceptual(sig)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Join .*concept", plan).start() < plan.index("Exchange")
+    assert rows(found) == [(1, 2, 0.8, 2)]
+
+
 def test_pages_budget_and_lookup(spark):
     verses = "\n".join(["a" * 700, "", "b" * 600, "c" * 1300, "d"])
     got = rows(retrieval.pages(spark.createDataFrame([(1, verses), (2, " \n")], "section int, text string")).drop("text"))
