@@ -199,6 +199,7 @@ def graphml(edges: DataFrame) -> DataFrame:
     from ..functions.text import xml_escape
 
     text = lambda c: xml_escape(F.col(c).cast("string"))
+    edges = written(edges, "edges")  # it is read three times, and sampled to be sorted
     nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
     lines = nodes.select(F.lit(1).alias("part"), F.format_string('<node id="%s"/>', text("id")).alias("line"))
     tags = F.format_string('<edge source="%s" target="%s"><data key="kind">%s</data><data key="weight">%.6f</data></edge>', text("src"), text("dst"), text("kind"), F.col("weight"))
