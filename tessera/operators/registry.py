@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -27,11 +29,11 @@ class Registry:
             self.matrix = np.zeros((16, len(v)))
         elif n == len(self.matrix):
             self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-        self.matrix[n] = v / max(np.linalg.norm(v), 1e-12)
+        self.matrix[n] = v / max(math.sqrt(v @ v), 1e-12)
         self.place[concept] = n
         self.names.append(concept)
 
-    def commit(self, run, section, rows: pd.DataFrame) -> list[tuple]:
+    def commit(self, run, section, rows: dict[str, list]) -> list[tuple]:
         """The kept weights of one section, as rows of ``FOLDED``."""
         start, most, half = self.gate
         n, got, minted = len(self.names), {}, set()
@@ -39,7 +41,7 @@ class Registry:
         for concept, confidence, weight, vector in zip(rows["concept"], rows["confidence"], rows["weight"], rows["embedding"], strict=True):
             if not weight > 0:
                 continue
-            confidence = 0.5 if confidence is None or np.isnan(confidence) else confidence
+            confidence = 0.5 if confidence is None or confidence != confidence else confidence
             if concept in self.place:
                 target = concept
             elif confidence >= tau:
@@ -56,12 +58,17 @@ class Registry:
 
 
 def in_order(rows: pd.DataFrame):
-    """(section, rows) in order of ``ord`` and section, concepts by name."""
-    for (_, section), own in rows.sort_values(["ord", "section", "concept"], kind="stable").groupby(["ord", "section"], sort=True):
-        yield section, own
+    """(section, rows) in order of ``ord`` and section, concepts by name; rows are a dict of lists, since
+    a run has many sections of few rows."""
+    rows = rows.sort_values(["ord", "section", "concept"], kind="stable")
+    columns = {c: rows[c].tolist() for c in ("concept", "confidence", "weight", "embedding")}
+    at, section = rows["ord"].to_numpy(), rows["section"].to_numpy()
+    starts = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (section[1:] != section[:-1])]) if len(rows) else []
+    for lo, hi in zip(starts, [*starts[1:], len(rows)], strict=True):
+        yield section[lo], {c: v[lo:hi] for c, v in columns.items()}
 
 
-def gate_fold(assignments: DataFrame, start: float = START, most: float = MOST, half: float = HALF) -> DataFrame:
+def gate_fold(assignments: DataFrame, start: float = START, most: float = MOST, half: float = HALF, vectors: DataFrame | None = None) -> DataFrame:
     """Commit assignments in order under the rising novelty threshold.
 
     ``assignments(run, ord, section, concept, confidence, weight, embedding)``. The
@@ -69,10 +76,17 @@ def gate_fold(assignments: DataFrame, start: float = START, most: float = MOST,
     known concept is kept, a new one enters at or over the threshold, else its weight
     goes to the nearest concept, or is lost while there is none. Serial by nature: each run
     is one ordered fold; runs are independent groups. Weights are scaled to sum 1. The stream
-    of ``streaming.registry`` takes a run batch by batch instead of whole."""
+    of ``streaming.registry`` takes a run batch by batch instead of whole.
+
+    Where few vectors serve all concepts they are given as ``vectors(key, embedding)``, which go to the
+    driver and to every task; assignments then have ``key`` in place of ``embedding``, and those
+    whose key has no vector take no part."""
+    known = None if vectors is None else {r["key"]: np.asarray(r["embedding"], float) for r in vectors.select("key", "embedding").collect()}
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         registry, out = Registry(start, most, half), []
+        if known is not None:
+            pdf = pdf[pdf["key"].isin(known)].assign(embedding=lambda t: t["key"].map(known))
         for section, rows in in_order(pdf):
             out += registry.commit(pdf["run"].iloc[0], section, rows)
         return pd.DataFrame(out, columns=[c.split()[0] for c in FOLDED.split(", ")])

@@ -1,8 +1,10 @@
 import math
 import re
+import time
 import zipfile
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import DATA
 from hypothesis import given, settings
@@ -283,6 +285,23 @@ def test_match_by_rounds_is_the_greedy_one(spark, pairs):
     assert rows_of(registry.greedy_match(df, 0.25)) == sorted(want)
 
 
+def test_sections_of_a_run_are_cut_quickly():
+    n = 50_000
+    log = pd.DataFrame({"ord": np.arange(n)[::-1] // 2, "section": np.arange(n)[::-1] // 2, "concept": ["b", "a"] * (n // 2), "confidence": 0.5, "weight": 1.0, "embedding": [None] * n})
+    start = time.process_time()
+    got = [(s, r["concept"]) for s, r in registry.in_order(log)]
+    assert got == [(s, ["a", "b"]) for s in range(n // 2)] and time.process_time() - start < 1
+
+
+def test_fold_with_vectors_apart(spark):
+    rng = np.random.default_rng(5)
+    known = [(k, rng.standard_normal(4).tolist()) for k in range(7)]
+    vectors = spark.createDataFrame(known, "key long, embedding array<double>")
+    log = spark.createDataFrame([("ab"[i % 2], i // 3, i // 3, f"c{rng.integers(40)}", float(rng.random()), 1.0, i % 8) for i in range(200)], "run string, ord long, section long, concept string, confidence double, weight double, key long")
+    want = rows_of(registry.gate_fold(log.join(vectors, "key").drop("key")))
+    assert rows_of(registry.gate_fold(log, vectors=vectors)) == want and len(want) > 100
+
+
 def test_registry_as_a_stream(spark, tmp_path):
     rng = np.random.default_rng(4)
     kinds = "run string, ord long, section long, concept string, confidence double, weight double, embedding array<double>"
