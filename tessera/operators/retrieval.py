@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,20 +53,26 @@ def bm25(index: DataFrame, queries: DataFrame, k: int = 8, key: str = "page", k1
     """Best pages for each query phrase, (query, phrase); terms must follow one another.
 
     The phrase is one unit, as in a full-text index: its frequency and document
-    frequency enter the formula. Higher is better. The texts are read once: the terms of the
-    stated queries go to the driver, and of each page its length and their places are written."""
-    terms = queries.select("query", tokens(F.col("phrase")).alias("t"))
-    terms = terms.select("query", F.size("t").alias("m"), F.posexplode("t").alias("i", "term"))
-    asked = [r[0] for r in terms.select("term").distinct().collect()]
-    places = F.filter(F.sequence(F.lit(0), F.col("length") - 1), lambda i: F.get("t", i).isin(asked))
-    seen = index.where("length > 0").select(key, "length", F.transform(places, lambda i: F.struct(i.alias("p"), F.get("t", i).alias("term"))).alias("places"))
-    seen = written(seen, "asked-terms")
+    frequency enter the formula. Higher is better. The texts are read once: the phrases of the
+    stated queries go to the driver, each page counts them in place, and only its length and
+    counts are written; no occurrence is shuffled."""
+    asked = queries.select("query", tokens(F.col("phrase")).alias("t")).where(F.size("t") > 0).withColumn("phrase", F.array_join("t", " "))
+    phrases = {r["phrase"]: r["t"] for r in asked.select("phrase", "t").distinct().collect()}
+    terms = sorted({t for p in phrases.values() for t in p})
+    places = F.filter(F.sequence(F.lit(0), F.col("length") - 1), lambda i: F.get("t", i).isin(terms))
+
+    def times(phrase: list[str]) -> Column:
+        follow = lambda i: reduce(lambda x, y: x & y, [F.coalesce(F.get("t", i + n) == term, F.lit(False)) for n, term in enumerate(phrase)])
+        return F.size(F.filter("places", follow)).cast("long")
+
+    none = F.array().cast("array<struct<phrase:string,tf:bigint>>")
+    counts = F.array(*[F.struct(F.lit(p).alias("phrase"), times(t).alias("tf")) for p, t in phrases.items()]) if phrases else none
+    seen = index.where("length > 0").select(key, "length", "t", places.alias("places"))
+    seen = written(seen.select(key, "length", F.filter(counts, lambda c: c["tf"] > 0).alias("found")), "asked-terms")
     totals = seen.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    hits = seen.select(key, "length", F.explode("places").alias("h")).select(key, "length", "h.*").join(terms, "term")
-    starts = hits.groupBy("query", "m", key, "length", (F.col("p") - F.col("i")).alias("start")).agg(F.count("*").alias("c")).where("c = m")
-    tf = starts.groupBy("query", key, "length").agg(F.count("*").alias("tf"))
+    tf = seen.select(key, "length", F.explode("found").alias("f")).select(key, "length", "f.*").join(F.broadcast(asked.select("query", "phrase")), "phrase").drop("phrase")
     df = tf.groupBy("query").agg(F.count("*").alias("df"))
-    rows = tf.join(df, "query").crossJoin(totals)
+    rows = tf.join(F.broadcast(df), "query").crossJoin(F.broadcast(totals))
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     score = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     best = Window.partitionBy("query").orderBy(F.desc("score"), key)

@@ -57,6 +57,15 @@ def test_prefix_filter_is_exact(spark, entries):
     assert signatures.violations(sig).count() == 0
 
 
+def test_occurrences_of_terms_are_not_shuffled(spark):
+    pages = spark.createDataFrame([(1, "a b a b a"), (2, "b b"), (3, "c"), (4, None), (5, "a a a")], "page long, text string")
+    asked = spark.createDataFrame([("1", "a b"), ("2", "A"), ("3", "a a"), ("4", " "), ("5", None), ("6", "a"), ("7", "b a b")], "query string, phrase string")
+    found = retrieval.bm25(retrieval.postings(pages), asked)
+    assert sorted((r.query, r.page) for r in found.collect()) == [("1", 1), ("2", 1), ("2", 5), ("3", 5), ("6", 1), ("6", 5), ("7", 1)]
+    assert "explode(places" not in found._jdf.queryExecution().toString() and "start#" not in found._jdf.queryExecution().toString()
+    assert retrieval.bm25(retrieval.postings(pages), asked.where("query = '4'")).count() == 0
+
+
 def test_overlap_candidates_are_not_shuffled(spark):
     sig = spark.createDataFrame([(1, 7, 0.5), (1, 8, 0.5), (2, 7, 0.3), (2, 8, 0.7)], "section int, concept int, weight double")
     found = edges.conceptual(sig)
