@@ -6,6 +6,8 @@ many pages is no single task's. ``totals`` holds the number of pages and their m
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from ..functions.text import strip_marks
 
 TOKEN = r"[^\p{L}\p{N}]+"
 BUCKETS, PARTS = 64, 4
+#: Tokens that a task sorts at about; larger tables have more tasks, and more parts of a bucket.
+TASK_TOKENS = 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -24,7 +28,7 @@ def bucket(term: Column, buckets: int) -> Column:
     return (F.conv(F.substring(F.md5(term), 1, 6), 16, 10).cast("long") % buckets).cast("int")
 
 
-def postings(pages: DataFrame, fields: list[str], key: str = "page", buckets: int = BUCKETS, parts: int = PARTS) -> DataFrame:
+def postings(pages: DataFrame, fields: list[str], key: str = "page", buckets: int = BUCKETS, parts: int = PARTS, tasks: int | None = None) -> DataFrame:
     """(bucket, term, field, key, tf, positions, length) of the text columns ``fields``. Length is
     the page's number of tokens over all fields. One shuffle: by bucket and part, then in place."""
     rows = pages.select(key, *[tokens(F.col(f)).alias(f) for f in fields])
@@ -33,16 +37,20 @@ def postings(pages: DataFrame, fields: list[str], key: str = "page", buckets: in
     rows = rows.select(key, length.alias("length"), each.alias("f")).select(key, "length", "f.field", F.posexplode("f.t").alias("at", "term"))
     rows = rows.withColumns({"bucket": bucket(F.col("term"), buckets), "part": F.pmod(F.xxhash64(key), F.lit(parts))})
     by = ["bucket", "part", "term", "field", key, "length"]
-    got = rows.repartition("bucket", "part").groupBy(*by).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
+    got = rows.repartition(*([tasks] if tasks else []), "bucket", "part").groupBy(*by).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
     return got.select("bucket", "term", "field", key, "tf", "positions", "length")
 
 
 def write(pages: DataFrame, path: str, fields: list[str], key: str = "page", buckets: int = BUCKETS, parts: int = PARTS) -> None:
     """The index of ``pages`` at ``path``, in place of an earlier one."""
-    index = postings(pages, fields, key, buckets, parts)
-    index.sortWithinPartitions("bucket", "term", key).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     sizes = pages.select(sum((F.size(tokens(F.col(f))) for f in fields), F.lit(0)).alias("length")).where("length > 0")
     sizes.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.lit(buckets).alias("buckets")).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+    totals = pages.sparkSession.read.parquet(f"{path}/totals").first()
+    tasks = math.ceil(totals["n"] * (totals["mean"] or 0) / TASK_TOKENS)
+    parts = max(parts, -(-2 * tasks // buckets))
+    few = tasks <= int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = postings(pages, fields, key, buckets, parts, None if few else tasks)
+    index.sortWithinPartitions("bucket", "term", key).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
 
 
 def read(spark: SparkSession, path: str, key: str = "page", kind: str = "string") -> DataFrame:
@@ -66,10 +74,15 @@ def search(
     terms = terms.withColumn("bucket", bucket(F.col("term"), buckets))
     opened = sorted(r[0] for r in terms.select("bucket").distinct().collect())
     index = read(spark, path, key, kind).where(F.col("bucket").isin(opened) & F.col("field").isin(list(weights)))
-    hits = index.join(terms, ["bucket", "term"]).select("query", "m", key, "field", "length", F.explode("positions").alias("p"), "i")
-    found = hits.groupBy("query", "m", key, "field", "length", (F.col("p") - F.col("i")).alias("start")).agg(F.count("*").alias("c")).where("c = m")
+    hits = index.join(F.broadcast(terms), ["bucket", "term"])
+    # a word's frequency is stored; of a phrase the places of its words meet, page by page
+    one = hits.where("m = 1").select("query", key, "field", "length", "tf")
+    starts = F.struct("i", F.transform("positions", lambda p: p - F.col("i")).alias("starts"))
+    each = hits.where("m > 1").groupBy("query", "m", key, "field", "length").agg(F.collect_list(starts).alias("words")).where(F.size("words") == F.col("m"))
+    both = F.aggregate(F.slice("words", 2, F.size("words")), F.get("words.starts", F.lit(0)), lambda s, w: F.array_intersect(s, w["starts"]))
+    more = each.select("query", key, "field", "length", F.size(both).cast("long").alias("tf")).where("tf > 0")
     weight = F.create_map(*[F.lit(x) for f, w in weights.items() for x in (f, float(w))])[F.col("field")]
-    tf = found.groupBy("query", key, "length").agg(F.sum(weight).alias("tf"))
+    tf = one.unionByName(more).groupBy("query", key, "length").agg(F.sum(weight * F.col("tf")).alias("tf"))
     rows = tf.join(tf.groupBy("query").agg(F.count("*").alias("df")), "query").crossJoin(totals.select("n", "mean"))
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     score = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))

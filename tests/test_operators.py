@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera import adapters
 from tessera.functions import scores, text
-from tessera.operators import concepts, edges, registry, retrieval, signatures
+from tessera.operators import concepts, edges, registry, retrieval, signatures, termindex
 from tessera.queries import QUERIES
 from tessera.sources import corpora, sinks
 from tessera.streaming import monitor
@@ -66,6 +66,23 @@ def test_occurrences_of_terms_are_not_shuffled(spark):
     assert retrieval.bm25(retrieval.postings(pages), asked.where("query = '4'")).count() == 0
 
 
+def test_places_of_terms_are_not_exploded(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(i, "a b a b a" if i % 2 else "b b c", "a") for i in range(40)], "page long, text string, book string")
+    asked = spark.createDataFrame([("1", "a b"), ("2", "a"), ("3", "b b"), ("4", "b a b a")], "query string, phrase string")
+    want = None
+    for size in (10**6, 10):
+        monkeypatch.setattr(termindex, "TASK_TOKENS", size)
+        termindex.write(pages, f"{tmp_path}/{size}", ["book", "text"], buckets=4)
+        found = termindex.search(spark, f"{tmp_path}/{size}", asked, {"book": 2.0, "text": 1.0}, k=3, kind="long")
+        got = rows(found)
+        assert len(got) == 12 and {r[2] % 2 for r in got if r[0] in "14"} == {1} and {r[2] % 2 for r in got if r[0] == "3"} == {0}
+        assert want in (None, got)
+        want = got
+        assert "explode(positions" not in found._jdf.queryExecution().toString()
+    # tasks follow the tokens
+    assert spark.read.parquet(f"{tmp_path}/10/postings").select(F.input_file_name()).distinct().count() > 8
+
+
 def test_overlap_candidates_are_not_shuffled(spark):
     sig = spark.createDataFrame([(1, 7, 0.5), (1, 8, 0.5), (2, 7, 0.3), (2, 8, 0.7)], "section int, concept int, weight double")
     found = edges.conceptual(sig)
