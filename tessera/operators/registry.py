@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.sinks import written
+from .vectors import best_of_ends
 
 
 FOLDED = "run string, section long, concept string, weight double, minted boolean, threshold double"
@@ -114,6 +115,30 @@ def greedy_match(pairs: DataFrame, floor: float = 0.75) -> DataFrame:
     return left.select("run", "a", "b", "score") if taken is None else taken
 
 
+def match_vectors(left: DataFrame, right: DataFrame, floor: float = 0.75, k: int = 16) -> DataFrame:
+    """``greedy_match`` of all pairs of a row of ``left`` and one of ``right``, (id, v), by cosine: (a, b, score).
+
+    The pairs over the floor are never held. Of every end that is free the k best free partners are
+    searched; a pair that leads what is left of both its ends' lists is taken. When none leads
+    both any more, the ends still free are searched again, with twice the k. After each search at
+    least the best pair of all is taken, and a search that finds none ends the matching."""
+    order = F.struct((-F.col("score")).alias("less"), "a", "b")
+    taken = None
+    while True:
+        free = [t if taken is None else t.join(taken.select(F.col(end).alias("id")), "id", "left_anti") for t, end in ((left, "a"), (right, "b"))]
+        lists = written(best_of_ends(*free, k, floor), "match-lists")
+        if lists.isEmpty():
+            return lists.select("a", "b", "score") if taken is None else taken
+        new = None
+        while new is None or not new.isEmpty():
+            if new is not None:
+                taken = new if taken is None else taken.unionByName(new)
+                lists = written(lists.join(new.select("a"), "a", "left_anti").join(new.select("b"), "b", "left_anti"), "match-lists")
+            one, two = (lists.where(F.col("end") == e).groupBy(e).agg(F.min(order).alias("best")).select("best.*") for e in "ab")
+            new = written(one.join(two, ["less", "a", "b"]).select("a", "b", (-F.col("less")).alias("score")), "matched")
+        k *= 2
+
+
 def closure(spark, merges: DataFrame, usage: DataFrame | None = None) -> DataFrame:
     """The end of every merged concept: (concept, winner) of all but the winners.
 

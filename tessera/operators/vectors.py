@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Vectors of a block at most: a task compares two blocks.
 BLOCK_ROWS = 4_096
+#: Rows of a block of searches of which only few rows of two blocks leave the task.
+END_ROWS = 16_384
 
 
 def _block(id_: str, blocks: int) -> Column:
@@ -119,7 +121,8 @@ def _products(floor: float, own: bool) -> Callable:
     return run
 
 
-def _block_pairs(left: DataFrame, right: DataFrame, floor: float, own: bool, rows: int) -> DataFrame:
+def _dealt(left: DataFrame, right: DataFrame, own: bool, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides in blocks (i, j) and (o_i, o_j), each row once for every block that it meets."""
     least = 2 * left.sparkSession.sparkContext.defaultParallelism  # block pairs at least, to use all cores
     known = lambda t: t.where("v IS NOT NULL AND id IS NOT NULL").select(F.col("id").cast("long"), "v")
     left, right = known(left), known(right)
@@ -129,7 +132,11 @@ def _block_pairs(left: DataFrame, right: DataFrame, floor: float, own: bool, row
     each = lambda lo, hi: F.explode(F.sequence(lo, hi))
     x = left.withColumn("i", _block("id", m)).withColumn("j", each(F.col("i") if own else F.lit(0), F.lit(n - 1)))
     y = right.withColumn("j", _block("id", n)).withColumn("i", each(F.lit(0), F.col("j") if own else F.lit(m - 1)))
-    y = y.select(F.col("id").alias("o_id"), F.col("v").alias("o_v"), F.col("i").alias("o_i"), F.col("j").alias("o_j"))
+    return x, y.select(F.col("id").alias("o_id"), F.col("v").alias("o_v"), F.col("i").alias("o_i"), F.col("j").alias("o_j"))
+
+
+def _block_pairs(left: DataFrame, right: DataFrame, floor: float, own: bool, rows: int) -> DataFrame:
+    x, y = _dealt(left, right, own, rows)
     return x.groupBy("i", "j").cogroup(y.groupBy("o_i", "o_j")).applyInPandas(_products(floor, own), "a long, b long, score double")
 
 
@@ -145,6 +152,55 @@ def pairs_between(left: DataFrame, right: DataFrame, floor: float, rows: int = B
     return _block_pairs(left, right, floor, False, rows)
 
 
+
+def _leading(x: np.ndarray, ids: np.ndarray, y: np.ndarray, others: np.ndarray, k: int, floor: float) -> list[tuple]:
+    """(id, other, score) of the k best of ``y`` for each row of ``x``, of those at or over the floor."""
+    parts, width = [], 128
+    groups = -(-len(y) // width)
+    for at in range(0, len(x), 256):
+        scores = x[at : at + 256] @ y.T
+        bound = np.full(len(scores), floor)
+        if groups > k:
+            # k groups of columns have a score at or over the k-th best of the groups' best ones
+            tops = np.maximum.reduceat(scores, np.arange(groups) * width, axis=1)
+            bound = np.maximum(bound, np.partition(tops, groups - k, axis=1)[:, groups - k])
+        i, j = np.nonzero(scores >= bound[:, None] - 2e-6)  # scores are rounded
+        s = np.round(scores[i, j], 6)
+        i, j, s = i[s >= floor], j[s >= floor], s[s >= floor]
+        order = np.lexsort((others[j], -s, i))
+        i, j, s = i[order], j[order], s[order]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < k
+        parts.append((ids[at + i[first]], others[j[first]], s[first]))
+    return parts
+
+
+def best_of_ends(left: DataFrame, right: DataFrame, k: int, floor: float, rows: int = END_ROWS) -> DataFrame:
+    """(end, a, b, score): the k best of ``right`` for every row of ``left`` (end ``a``) and the k best of
+    ``left`` for every row of ``right`` (end ``b``), of (id, v), at or over the cosine floor; ties to
+    the smaller id. Only k rows of each end leave two blocks."""
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        y = y.rename(columns=lambda c: c.removeprefix("o_"))
+        for p, q in _by_dim(x, "v", y, "v") if len(x) and len(y) else ():
+            u, v, a, b = _units(p["v"]), _units(q["v"]), p["id"].to_numpy(), q["id"].to_numpy()
+            there, others = np.isfinite(u).all(axis=1), np.isfinite(v).all(axis=1)
+            u, a, v, b = u[there], a[there], v[others], b[others]
+            if len(u) and len(v):
+                parts += [("a", i, j, s) for i, j, s in _leading(u, a, v, b, k, floor)]
+                parts += [("b", j, i, s) for i, j, s in _leading(v, b, u, a, k, floor)]
+        ends = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts]) if parts else []
+        columns = [np.concatenate(c) for c in list(zip(*parts, strict=True))[1:]] if parts else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pd.DataFrame({"end": pd.Series(ends, dtype=object), "a": columns[0], "b": columns[1], "score": columns[2]})
+
+    x, y = _dealt(left, right, False, rows)
+    found = x.groupBy("i", "j").cogroup(y.groupBy("o_i", "o_j")).applyInPandas(run, "end string, a long, b long, score double")
+    own, other = F.when(F.col("end") == "a", F.col("a")).otherwise(F.col("b")), F.when(F.col("end") == "a", F.col("b")).otherwise(F.col("a"))
+    best = Window.partitionBy("end", "own").orderBy(F.desc("score"), "other")
+    ranked = found.withColumns({"own": own, "other": other}).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select("end", "a", "b", "score")
+
+
 #: Pivots of an index at most; they go to the driver and to every task.
 PIVOTS = 256
 

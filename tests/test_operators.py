@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera import adapters
 from tessera.functions import scores, text
-from tessera.operators import concepts, edges, registry, retrieval, signatures, termindex
+from tessera.operators import concepts, edges, registry, retrieval, signatures, termindex, vectors
 from tessera.queries import QUERIES
 from tessera.sources import corpora, sinks
 from tessera.streaming import monitor
@@ -349,3 +349,22 @@ def test_registry_as_a_stream(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_match_of_vectors_holds_no_pairs(spark, monkeypatch):
+    # clusters, ties, and lists of two that are soon used up
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((6, 8))
+    table = [(i, (base[i % 6] + (0.4 if i % 5 else 0) * rng.standard_normal(8)).tolist()) for i in range(48)] + [(200, None), (201, [0.0] * 8), (203, [float("nan")] * 8), (204, [1.0, 2.0])]
+    v = spark.createDataFrame(table, "id long, v array<double>")
+    even, odd = v.where("id % 2 = 0"), v.where("id % 2 = 1")
+    want = rows_of(registry.greedy_match(vectors.pairs_between(even, odd, 0.3).selectExpr("'r' AS run", "a", "b", "score"), 0.3).drop("run"))
+    n_pairs = vectors.pairs_between(even, odd, 0.3).count()
+    lists = []
+    kept = registry.written
+    monkeypatch.setattr(registry, "written", lambda df, name: lists.append((name, kept(df, name))) or lists[-1][1])
+    assert rows_of(registry.match_vectors(even, odd, 0.3, k=2)) == want and len(want) > 8
+    # the first lists are of two partners of each end, not of all pairs
+    assert lists[0][1].count() <= 2 * 48 < n_pairs
+    assert registry.match_vectors(even.limit(0), odd, 0.3).collect() == []
+    assert rows_of(vectors.best_of_ends(even, odd, 3, 0.3, rows=7)) == rows_of(vectors.best_of_ends(even, odd, 3, 0.3))
