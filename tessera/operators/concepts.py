@@ -105,7 +105,8 @@ def draft_overlap(drafts: DataFrame, hits: DataFrame, signatures: DataFrame) ->
     """Of ``hits(draft, section)`` the sum of least weights of the draft (draft, concept, weight)
     and the section's signature; null where the section has none."""
     own = drafts.select("draft", "concept", F.col("weight").alias("w"))
-    shared = hits.join(signatures, "section").join(own, ["draft", "concept"]).groupBy("draft", "section").agg(F.sum(F.least("w", "weight")).alias("o"))
+    # a draft has few concepts, a section may have very many: the draft's are looked up
+    shared = hits.join(own, "draft").join(signatures, ["section", "concept"]).groupBy("draft", "section").agg(F.sum(F.least("w", "weight")).alias("o"))
     signed = signatures.select("section").distinct().withColumn("signed", F.lit(True))
     rows = hits.join(signed, "section", "left").join(shared, ["draft", "section"], "left")
     return rows.select("draft", "section", F.when(F.col("signed"), F.round(F.coalesce("o", F.lit(0.0)), 6)).alias("overlap"))

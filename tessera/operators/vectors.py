@@ -97,6 +97,62 @@ def nearest(
     return _ranked(found, k, per)
 
 
+def nearest_groups(queries: DataFrame, corpus: DataFrame, k: int, floor: float | None = None, rows: int = END_ROWS) -> DataFrame:
+    """(query, source, rank, id, score): for each (query, own, q) and each ``source`` of (id, source, group, v) the k
+    best groups, each by its best row, without the group ``own``; ``source``, ``own`` and ``group``
+    are strings. Of two blocks only k rows of each query and source leave the task: a group that is among the k
+    best of all is among them where its best row is."""
+    asked = queries.where("query IS NOT NULL AND q IS NOT NULL").select("query", "own", "q")
+    there = corpus.where("id IS NOT NULL AND v IS NOT NULL").select("id", "source", "group", "v")
+    m = max(1, -(-asked.count() // rows))
+    n = max(-(-there.count() // rows), -(-corpus.sparkSession.sparkContext.defaultParallelism // m))
+    x = asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns], _block("query", m).alias("q_i"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("q_j"))
+    y = there.withColumns({"j": _block("id", n), "i": F.explode(F.sequence(F.lit(0), F.lit(m - 1)))})
+    kind = lambda t, c: t.schema[c].dataType.simpleString()
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        left = left.rename(columns=lambda c: c.removeprefix("q_"))
+        for qs, vs in _by_dim(left, "q", right, "v") if len(left) and len(right) else ():
+            # rows of one source, then of one group, stand together
+            vs = vs.sort_values(["source", "group", "id"])
+            groups, sources = vs.groupby(["source", "group"], sort=False).ngroup().to_numpy(), vs.groupby("source", sort=False).ngroup().to_numpy()
+            starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+            u, ids, of_source, of_group = _units(vs["v"]), vs["id"].to_numpy(), vs["source"].to_numpy(dtype=object), vs["group"].to_numpy(dtype=object)
+            first, of = of_group[starts], sources[starts]
+            bounds = np.append(np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), len(of))
+            places = pd.Series(np.arange(len(first))).groupby(first).apply(np.array).to_dict()
+            for at in range(0, len(qs), 256):
+                some = qs.iloc[at : at + 256]
+                scores = np.round(_units(some["q"]) @ u.T, 6)
+                scores[~np.isfinite(scores) | (scores < (-np.inf if floor is None else floor))] = -np.inf
+                best = np.maximum.reduceat(scores, starts, axis=1)
+                for i, own in enumerate(some["own"]):
+                    best[i, places.get(own, [])] = -np.inf
+                for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                    part = best[:, lo:hi]
+                    least = -np.partition(-part, k - 1, axis=1)[:, k - 1 : k] if hi - lo > k else np.full((len(part), 1), -np.inf)
+                    i, g = np.nonzero((part >= least) & np.isfinite(part))
+                    # of a group the least id with its best score; rows of a group are in order of id
+                    s, a = part[i, g], starts[lo + g]
+                    ends = np.append(starts[1:], len(ids))[lo + g]
+                    row = np.array([a_ + int((scores[i_, a_:e_] == s_).argmax()) for i_, a_, e_, s_ in zip(i, a, ends, s, strict=True)], np.int64)
+                    order = np.lexsort((ids[row], -s, i))
+                    i, s, row = i[order], s[order], row[order]
+                    kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+                    parts.append((some["query"].to_numpy()[i[kept]], of_source[row[kept]], of_group[row[kept]], ids[row[kept]], s[kept]))
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, object)] * 5
+        names = ["query", "source", "group", "id", "score"]
+        return pd.DataFrame({n: pd.Series(c, dtype=c.dtype) for n, c in zip(names, columns, strict=True)})
+
+    types = f"query {kind(asked, 'query')}, source string, group string, id {kind(there, 'id')}, score double"
+    found = x.groupBy("q_i", "q_j").cogroup(y.groupBy("i", "j")).applyInPandas(run, types)
+    once = F.row_number().over(Window.partitionBy("query", "source", "group").orderBy(F.desc("score"), "id"))
+    rank = F.row_number().over(Window.partitionBy("query", "source").orderBy(F.desc("score"), "id"))
+    found = found.withColumn("n", once).where("n = 1").withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.select("query", "source", "rank", "id", "score")
+
+
 def _products(floor: float, own: bool) -> Callable:
     """Pairs of two blocks at or over the cosine floor, by one product of their matrices."""
 

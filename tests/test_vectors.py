@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import vectors
 
@@ -66,3 +67,27 @@ def test_index_is_exact_and_skips_cells(spark, tmp_path, spread, skipped):
     assert rows_of(high) == brute(table, asked, 400, floor=0.9)
     vectors.write_index(df.limit(0), f"{tmp_path}/none")
     assert vectors.search_index(spark, f"{tmp_path}/none", queries)[0].collect() == []
+
+
+@pytest.mark.parametrize("rows", [16_384, 9])
+def test_nearest_groups(spark, rows):
+    # groups whose rows lie in several blocks, a null source and group, ties and vectors that take no part
+    table = [(i, "ab"[i % 2] if i % 13 else None, f"g{i % 20}" if i % 7 else None, v) for i, v, _ in data(120, 0.6)]
+    table += [(200 + i, s, g, v) for i, s, g, v in table[:9]] + [(300, "a", "g1", None), (301, "b", "g2", [1.0, 2.0]), (302, "a", "g3", [float("nan")] * 16)]
+    corpus = spark.createDataFrame(table, "id long, source string, group string, v array<double>")
+    asked = [(i, g, v) for i, _, g, v in table if i % 10 == 0 and v is not None and len(v) == 16]
+    u = {i: np.array(v) / max(np.linalg.norm(v), 1e-300) for i, _, _, v in table if v is not None and len(v) == 16}
+    want = []
+    for q, own, x in asked:
+        for source in ("a", "b", None):
+            best = {}
+            for i, s, g, _ in table:
+                score = round(float(u[q] @ u[i]), 6) if i in u else float("nan")
+                if s == source and g != own and score >= 0.2:
+                    best[g] = min(best.get(g, (9.0, 0)), (-score, i))
+            want += [(q, source, n + 1, i, -s) for n, (s, i) in enumerate(sorted(best.values())[:2])]
+    name = lambda c: F.coalesce(c, F.lit("none"))
+    queries = spark.createDataFrame(asked, "query long, own string, q array<double>").withColumn("own", name("own"))
+    got = vectors.nearest_groups(queries, corpus.withColumns({"source": name("source"), "group": name("group")}), 2, 0.2, rows)
+    assert sorted(map(str, map(tuple, got.withColumn("source", F.nullif("source", F.lit("none"))).collect()))) == sorted(map(str, want)) and len(want) > 40
+    assert vectors.nearest_groups(queries.limit(0), corpus, 2).collect() == vectors.nearest_groups(queries, corpus.limit(0), 2).collect() == []
