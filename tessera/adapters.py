@@ -15,10 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def signatures(spark: SparkSession, sf_dir: str, fine: bool = False) -> DataFrame:
     """section = order, concept = part or its brand, weight = share of the price."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("section"), "l_partkey", F.col("l_extendedprice").alias("weight"))
+    n = lines.count()
     if fine:
-        return S.normalise(lines.withColumnRenamed("l_partkey", "concept"))
+        return S.normalise(lines.withColumnRenamed("l_partkey", "concept"), n)
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("concept"))
-    return S.normalise(lines.join(parts, "l_partkey"))
+    return S.normalise(lines.join(parts, "l_partkey"), n)
 
 
 def page_signatures(spark: SparkSession, sf_dir: str, fine: bool = True) -> DataFrame:

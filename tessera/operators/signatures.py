@@ -6,8 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def normalise(entries: DataFrame) -> DataFrame:
-    """Merge repeated concepts of a section and scale its weights to sum 1."""
+#: Merged concepts up to which they are sent to the signatures; parts of a concept's sections beyond.
+SENT, SALTS = 1_000_000, 16
+#: Entries of a task that scales signatures.
+TASK_ROWS = 250_000
+
+
+def normalise(entries: DataFrame, n: int | None = None) -> DataFrame:
+    """Merge repeated concepts of a section and scale its weights to sum 1.
+
+    With their number ``n`` entries are dealt by section once, to as many tasks as they need, and
+    what follows section by section needs no other shuffle."""
+    if n is not None:
+        entries = entries.repartition(max(entries.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_ROWS)), "section")
     merged = entries.groupBy("section", "concept").agg(F.sum("weight").alias("w"))
     total = F.sum("w").over(Window.partitionBy("section"))
     return merged.withColumn("weight", F.try_divide("w", total)).where("weight > 0").drop("w")
@@ -88,8 +99,18 @@ def rank_sections(queries: DataFrame, signatures: DataFrame, k: int = 30) -> Dat
 
 
 def repoint(signatures: DataFrame, winners: DataFrame) -> DataFrame:
-    """Move weights of merged concepts, (concept, winner), to their winners and add them up."""
-    moved = signatures.join(winners, "concept", "left").withColumn("concept", F.coalesce("winner", "concept"))
+    """Move weights of merged concepts, (concept, winner), to their winners and add them up.
+
+    A concept may stand in very many sections, so signatures are not dealt by concept: up to
+    ``SENT`` winners go to them. More of them are joined by concept and one of ``SALTS`` parts of
+    its sections."""
+    if winners.limit(SENT + 1).count() <= SENT:
+        moved = signatures.join(F.broadcast(winners), "concept", "left")
+    else:
+        each = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64("section"), F.lit(SALTS)).cast("int")
+        moved = signatures.withColumn("salt", salt).join(each, ["concept", "salt"], "left").drop("salt")
+    moved = moved.withColumn("concept", F.coalesce("winner", "concept"))
     return moved.groupBy("section", "concept").agg(F.sum("weight").alias("weight"))
 
 

@@ -368,3 +368,15 @@ def test_match_of_vectors_holds_no_pairs(spark, monkeypatch):
     assert lists[0][1].count() <= 2 * 48 < n_pairs
     assert registry.match_vectors(even.limit(0), odd, 0.3).collect() == []
     assert rows_of(vectors.best_of_ends(even, odd, 3, 0.3, rows=7)) == rows_of(vectors.best_of_ends(even, odd, 3, 0.3))
+
+
+def test_signatures_are_dealt_by_their_number(spark, monkeypatch):
+    entries = spark.createDataFrame([(i % 37, i % 5, float(1 + i % 7)) for i in range(400)], "section int, concept int, weight double")
+    rounded = lambda df: rows_of(df.select("section", "concept", F.round("weight", 9).alias("weight")))
+    monkeypatch.setattr(signatures, "TASK_ROWS", 20)
+    dealt = signatures.normalise(entries, 400)
+    assert dealt.rdd.getNumPartitions() == 20 and rounded(dealt) == rounded(signatures.normalise(entries))
+    winners = spark.createDataFrame([(3, 1), (4, 1), (9, 2)], "concept int, winner int")
+    few = rounded(signatures.repoint(dealt, winners))
+    monkeypatch.setattr(signatures, "SENT", 2)
+    assert rounded(signatures.repoint(dealt, winners)) == few and {c for _, c, _ in few} == {0, 1, 2}
