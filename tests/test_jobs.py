@@ -171,3 +171,22 @@ def test_command_lines(tmp_path):
     for new in (1000, 0):
         got = call("jobs.run_watch", "--events", f"{DATA}/events.parquet", "--out", f"{tmp_path}/watch", "--checkpoint", f"{tmp_path}/state")
         assert got.returncode == 0 and f"read {new} new events" in got.stderr, got.stderr[-2000:]
+
+
+def test_watch_takes_a_large_batch_in_parts(spark, tmp_path, monkeypatch):
+    from pyspark import cloudpickle
+
+    monkeypatch.setattr(stream, "ROWS_OUT", 64)
+    # the processor travels with its module, so that the workers see the small parts
+    cloudpickle.register_pickle_by_value(stream)
+    try:
+        df = spark.createDataFrame(log_rows(700), LOG)
+        df.orderBy(F.desc("ts")).coalesce(1).write.parquet(f"{tmp_path}/events")
+        run_watch.run(spark, f"{tmp_path}/events", f"{tmp_path}/out", f"{tmp_path}/checkpoint", SAME)
+    finally:
+        cloudpickle.unregister_pickle_by_value(stream)
+    assert rows(run_watch.sections(spark, f"{tmp_path}/out").drop("day")) == rows(watch.verdicts(watch.measures(df), SAME["limits"]))
+    frame = df.select("event_id", "ts", "kind", "section", "minted", "elapsed", "concept").toPandas()
+    got = list(stream._in_order(iter([frame[300:], frame[:300]])))
+    want = frame.sort_values(["ts", "event_id"])
+    assert got == list(want.itertuples(index=False, name=None))
