@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import written
+
 #: Vectors of a block at most: a task compares two blocks.
 BLOCK_ROWS = 4_096
 #: Rows of a block of searches of which only few rows of two blocks leave the task.
@@ -280,8 +282,11 @@ def write_index(vectors: DataFrame, path: str, pivots: int | None = None, rows:
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in known.schema)
     placed = known.mapInPandas(place, f"{kinds}, cell int, angle double")
-    part = _block("id", max(1, -(-n // rows)))
-    placed.withColumn("part", part).repartition("cell", "part").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
+    placed = written(placed, "vector-cells")
+    # a cell is dealt over as many parts as its own size asks for
+    parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / rows).cast("int").alias("parts"))  # at most PIVOTS rows
+    placed = placed.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    placed.repartition("cell", "part").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
     stored = vectors.sparkSession.read.schema(f"{kinds}, angle double, part int, cell int").parquet(f"{path}/vectors")
     sizes = stored.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius"), F.collect_set("part").alias("parts"))
     of = vectors.sparkSession.createDataFrame([(i, p.tolist()) for i, p in enumerate(base)], "cell int, pivot array<double>")

@@ -91,3 +91,11 @@ def test_nearest_groups(spark, rows):
     got = vectors.nearest_groups(queries, corpus.withColumns({"source": name("source"), "group": name("group")}), 2, 0.2, rows)
     assert sorted(map(str, map(tuple, got.withColumn("source", F.nullif("source", F.lit("none"))).collect()))) == sorted(map(str, want)) and len(want) > 40
     assert vectors.nearest_groups(queries.limit(0), corpus, 2).collect() == vectors.nearest_groups(queries, corpus.limit(0), 2).collect() == []
+
+
+def test_small_cells_of_an_index_are_not_dealt(spark, tmp_path):
+    df = spark.createDataFrame(data(400, 0.05), KINDS)
+    vectors.write_index(df, str(tmp_path), pivots=24, rows=50)
+    cells = spark.read.parquet(f"{tmp_path}/cells").collect()
+    # a query is sent to every part of a cell it opens
+    assert sum(c["n"] for c in cells) == 400 and all(len(c["parts"]) <= -(-c["n"] // 50) for c in cells) and min(len(c["parts"]) for c in cells) == 1
