@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.sinks import written
 from . import signatures as S
 from .registry import closure
 from .vectors import similar_pairs
@@ -19,10 +20,11 @@ def usage(signatures: DataFrame) -> DataFrame:
 
 
 def shortlist(concepts: DataFrame, used: DataFrame, floor: float = SHORTLIST) -> DataFrame:
-    """Pairs a < b of ``concepts(id, v)`` at the floor or over it, with how often each is used."""
+    """Pairs a < b of ``concepts(id, v)`` at the floor or over it, with how often each is used. They are
+    written out: what follows reads them several times, and the vectors are compared once."""
     of = lambda end: used.select(F.col("concept").alias(end), F.col("n").alias(f"n_{end}"))
     rows = similar_pairs(concepts, floor).join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return rows.select("a", "b", "score", *[F.coalesce(f"n_{x}", F.lit(0)).alias(f"n_{x}") for x in "ab"])
+    return written(rows.select("a", "b", "score", *[F.coalesce(f"n_{x}", F.lit(0)).alias(f"n_{x}") for x in "ab"]), "shortlist")
 
 
 def decide(pairs: DataFrame, answers: DataFrame | None = None, mechanical: float = MECHANICAL) -> DataFrame:
@@ -46,7 +48,8 @@ def apply(spark, signatures: DataFrame, decisions: DataFrame) -> tuple[DataFrame
     """The signatures re-pointed to the winners of their groups, weights of one section and concept
     added up, and (concept, winner) of all that lost. Of a chain, a cycle or two winners the most
     used concept of the group wins."""
-    winners = closure(spark, decisions.where("loser IS NOT NULL").select("loser", "winner"), usage(signatures))
+    merges = written(decisions.where("loser IS NOT NULL").select("loser", "winner"), "merges")
+    winners = written(closure(spark, merges, usage(signatures)), "winners")
     return S.repoint(signatures, winners), winners
 
 

@@ -70,3 +70,10 @@ def test_blobs(spark):
 def test_rows_show_something(name, column):
     found = connect("/root/testdata/sf0.01").execute(ORACLES[name]).df()[column]
     assert found.nunique() > 1
+
+
+def test_shortlist_compares_vectors_once(spark):
+    vectors = spark.createDataFrame([(i, [float(np.cos(i / 20)), float(np.sin(i / 20))]) for i in range(6)], "id long, v array<double>")
+    used = spark.createDataFrame([(1, 3)], "concept long, n long")
+    pairs = merging.shortlist(vectors, used, 0.99)
+    assert len(pairs.inputFiles()) > 0 and pairs.count() == pairs.where("a < b").count() > 0
