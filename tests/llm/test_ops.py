@@ -293,6 +293,35 @@ def test_fuzzy_lines_of_one_passage_and_of_no_blanks(spark):
     assert cut == {1003, 1077, 1150, 2001, 2003}
 
 
+def test_fuzzy_lines_letters_bound_the_distance(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("etaoinshrdlucmfwzé") for _ in range(rng.randint(2, 9)))
+    rows = []
+    for _ in range(400):
+        a = b = " ".join(word() for _ in range(rng.randint(2, 14)))
+        for _ in range(rng.randint(1, max(1, len(a) // 10))):
+            at = rng.randrange(len(b) + 1)
+            b = b[:at] + rng.choice(["", "e", "z", "q", "é", " "]) + b[at + rng.randint(0, 1) :]
+        if _distance(a, b) <= int(0.1 * max(len(a), len(b)) + 1e-9):
+            rows.append((len(rows), a, b))
+    lines = spark.createDataFrame(rows, "id long, a string, b string")
+    side = lambda c: lines.select("id", F.col(c).alias("norm"), F.length(c).alias("chars")).select(F.lit(0).alias("key"), "id", "chars", F.lit(0).alias("at"), *fuzzylines._letters())
+    left, right = side("a"), side("b").withColumn("id", F.col("id") + 1000)
+    pairs = left.join(right.toDF(*[f"o_{c}" for c in right.columns]), F.col("id") + 1000 == F.col("o_id"))
+    assert len(rows) > 200 and fuzzylines._candidates(pairs, 0.9).count() == len(rows)  # a similar pair is never left out
+
+
+def test_fuzzy_lines_compares_no_short_lines_of_other_letters(spark, monkeypatch):
+    rng = random.Random(8)
+    part = lambda: "".join(rng.choice("etaoinshrdlucmfw") for _ in range(8))
+    rows = [(i, f"{part()} {part()} rareword {part()} {part()}") for i in range(150)]
+    rows.append((1000, rows[70][1][:-1] + "x"))
+    linked, tried = fuzzylines._linked, []
+    monkeypatch.setattr(fuzzylines, "_linked", lambda pairs, *rest: tried.append(pairs.count()) or linked(pairs, *rest))
+    got = {r.doc_id for r in fuzzylines.dedupe(spark.createDataFrame(rows, "doc_id long, text string")).where("n_cut = 1").collect()}
+    assert got == {1000} and sum(tried) < 500, tried  # all that share the word: over 10,000 pairs
+
+
 def test_learned_operators_hold_out(spark):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet")
