@@ -179,8 +179,8 @@ def _rare_regions(docs: DataFrame, near: DataFrame, size: int, similarity: float
     rows = own.select("doc_id", "label", "open", parts("text").alias("regions"))
     rows = rows.select("doc_id", "label", "open", F.size("regions").alias("n"), F.explode("regions").alias("region"))
     rows = materialize(rows, "neardup-regions")
-    common = rows.groupBy("region").agg(F.count("*").alias("c")).where("c > 1")
-    rows = rows.join(common, "region")  # the regions of one text alone come first, and meet nothing
+    # the regions of one text alone come first, and meet nothing
+    rows = rows.withColumn("c", F.count("*").over(Window.partitionBy("region"))).where("c > 1")
     per = Window.partitionBy("doc_id", "n")
     rows = rows.withColumns({"m": F.count("*").over(per), "r": F.row_number().over(per.orderBy("c", "region"))})
     rows = rows.withColumn("r", F.col("r") + F.col("n") - F.col("m"))

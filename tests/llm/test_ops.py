@@ -322,6 +322,28 @@ def test_fuzzy_lines_compares_no_short_lines_of_other_letters(spark, monkeypatch
     assert got == {1000} and sum(tried) < 500, tried  # all that share the word: over 10,000 pairs
 
 
+def test_near_duplicates_count_regions_without_a_join(spark, monkeypatch):
+    base = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"{base} a{i} b{i} c{i % 3}") for i in range(30)] + [(99, "of its own words only here")], "doc_id long, text string")
+    plans, write = {}, neardup.materialize
+    monkeypatch.setattr(neardup, "materialize", lambda df, name, *rest: plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or write(df, name, *rest))
+    near = docs.select("doc_id", F.col("doc_id").alias("label"), F.lit(True).alias("open"))
+    got = neardup._rare_regions(docs, near, neardup.SHINGLE, 0.8).collect()
+    assert "Join" not in plans["neardup-prefixes"]
+    # the prefix of a text: of its n regions the n - ceil(0.8 n) + 1 of least count, less those it has alone
+    texts = {r.doc_id: neardup.shingles(r.text).view("int64").tolist() for r in docs.collect()}
+    count = {}
+    for of in texts.values():
+        for x in of:
+            count[x] = count.get(x, 0) + 1
+    want = set()
+    for i, of in texts.items():
+        n = len(of)
+        first = sorted(of, key=lambda x: (count[x], x))[: n + (-8 * n // 10) + 1]
+        want |= {(i, x) for x in first if count[x] > 1}
+    assert {(r.doc_id, r.region) for r in got} == want
+
+
 def test_learned_operators_hold_out(spark):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet")
