@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import connect, same
 from conftest import DATA
@@ -278,6 +279,60 @@ def test_fuzzy_lines_finds_similar_lines_of_every_length(spark):
     assert min(recall.values()) >= 0.95, recall
 
 
+def _edited(rng, line, how):
+    """``line`` with as many edits as it allows, as evenly spread as may be: no word need be left."""
+    cs, most = list(line), int(0.1 * len(line) + 1e-9)
+    for k in reversed(range(most)):
+        at = min((k + 1) * len(line) // (most + 1), len(line) - 2)
+        if how == "changed":
+            cs[at] = rng.choice("bcdfg")
+        elif how == "left out":
+            del cs[at]
+        else:
+            cs.insert(at, rng.choice("bcdfg"))
+    return "".join(cs).strip()
+
+
+def test_fuzzy_lines_finds_every_similar_pair(spark, monkeypatch):
+    rng = random.Random(9)
+    common = ["the", "of", "and", "thnd", "erth", "onre", "tion", "haes", "in", "stou"]  # no word is rare
+    lines = []
+    for n in (10, 11, 19, 20, 25, 29, 30, 38, 39, 40, 44, 59, 60, 79, 100, 101, 150, 260, 400):
+        for how in ("changed", "left out", "put in"):
+            line = ""
+            while len(line) < n:
+                line = f"{line} {rng.choice(common)}".strip()
+            line = line[:n].strip() + "x" * (n - len(line[:n].strip()))
+            lines += [line, _edited(rng, line, how)]
+    lines += ["ha " * 60 + "end", "ha " * 59 + "hb end", "k" * 300, "k" * 280]
+    passage = " ".join(rng.choice(common) for _ in range(30))
+    lines += [passage[:at] + "q" + passage[at + 1 :] for at in range(0, len(passage), 3)]  # a group of near copies
+    lines = list(dict.fromkeys(" ".join(x.split()) for x in lines))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    a, b = docs.toDF("a", "x"), docs.toDF("b", "y")
+    longer = F.greatest(F.length("x"), F.length("y"))
+    near = a.join(b, F.col("a") < F.col("b")).where(F.levenshtein("x", "y") <= F.floor(longer * 0.1 + 1e-9)).select("a", "b").collect()
+    label = list(range(len(lines)))
+    for _ in lines:
+        for r in near:
+            label[r.a] = label[r.b] = min(label[r.a], label[r.b])
+    want = {i for i, first in enumerate(label) if first != i}
+    assert len(want) > 90
+
+    def cut():
+        return {r.doc_id for r in fuzzylines.dedupe(docs).where("n_cut = 1").collect()}
+
+    assert cut() == want
+    # the same in many blocks; and in a task, looked at in small parts, with no pair known before
+    monkeypatch.setattr(fuzzylines, "BLOCK", 1500)
+    assert cut() == want
+    monkeypatch.setattr(fuzzylines, "CHUNK", 300)
+    monkeypatch.setattr(fuzzylines, "AT_ONCE", 40)
+    ids, yes = pa.array(range(len(lines))), pa.array([True] * len(lines))
+    met = fuzzylines._meet(0.9)(pa.table({"id": ids, "label": ids, "norm": lines, "chars": [len(x) for x in lines], "is_x": yes, "is_y": yes}))
+    assert {(r.a, r.b) for r in near} <= set(zip(met["src"].to_pylist(), met["dst"].to_pylist(), strict=True))
+
+
 def test_fuzzy_lines_of_one_passage_and_of_no_blanks(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("etaoinshrdlucmfw") for _ in range(rng.randint(2, 9)))
