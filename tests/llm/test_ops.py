@@ -333,6 +333,34 @@ def test_fuzzy_lines_finds_every_similar_pair(spark, monkeypatch):
     assert {(r.a, r.b) for r in near} <= set(zip(met["src"].to_pylist(), met["dst"].to_pylist(), strict=True))
 
 
+def test_fuzzy_lines_send_few_copies_of_a_line_at_once(spark, monkeypatch):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("etaoinshrdlucmfw") for _ in range(rng.randint(2, 9)))
+    lines = [" ".join(word() for _ in range(40)) for _ in range(60)]
+    lines += [x[:-1] + "z" for x in lines[:20]]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    blocks, sent = fuzzylines._blocks, []
+
+    def seen(*args):
+        sent.append(blocks(*args).agg(F.sum("chars")).first()[0])
+        return blocks(*args)
+
+    monkeypatch.setattr(fuzzylines, "_blocks", seen)
+    monkeypatch.setattr(fuzzylines, "BLOCK", 800)
+    monkeypatch.setattr(fuzzylines, "ROUND", 1, raising=False)
+    cut = {r.doc_id for r in fuzzylines.dedupe(docs).where("n_cut = 1").collect()}
+    assert cut == set(range(60, 80))
+    assert max(sent) <= 4 * sum(map(len, lines)), sent  # all blocks at once: over 10 times the text
+
+
+def test_materialize_leaves_no_shuffle_files(spark):
+    store = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = store.getAllFiles().size()
+    rows = common.materialize(spark.range(10_000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "cleanup")
+    assert store.getAllFiles().size() <= before
+    assert rows.count() == 7 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_fuzzy_lines_of_one_passage_and_of_no_blanks(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("etaoinshrdlucmfw") for _ in range(rng.randint(2, 9)))
