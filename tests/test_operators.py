@@ -83,6 +83,27 @@ def test_places_of_terms_are_not_exploded(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(f"{tmp_path}/10/postings").select(F.input_file_name()).distinct().count() > 8
 
 
+def test_terms_are_gathered_before_they_are_dealt(spark, tmp_path, monkeypatch):
+    texts = ["a b a b\u0301 a", "", None, "c", "É\u0640e b", "b " * 50]
+    pages = spark.createDataFrame([(f"p{i}", t, "a x" if i % 2 else None) for i, t in enumerate(texts)], "page string, text string, book string")
+    made, postings = [], termindex.postings
+    monkeypatch.setattr(termindex, "postings", lambda *a, **b: made.append(postings(*a, **b)) or made[-1])
+    monkeypatch.setattr(termindex, "AT_ONCE", 4, raising=False)
+    read = lambda path: sorted(tuple(r) for r in termindex.read(spark, path).select("term", "field", "page", "tf", "positions", "length", "bucket").collect())
+    termindex.write(pages, f"{tmp_path}/once", ["book", "text"], buckets=4)
+    plan = made[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Generate" not in plan  # no row for each token, no sort of them
+    number = {t: spark.range(1).select(termindex.bucket(F.lit(t), 4)).first()[0] for t in "abcéx"} | {"ée": spark.range(1).select(termindex.bucket(F.lit("ée"), 4)).first()[0]}
+    want = [("a", "text", "p0", 3, [0, 2, 4], 5), ("b", "text", "p0", 2, [1, 3], 5), ("c", "text", "p3", 1, [0], 3), ("ée", "text", "p4", 1, [0], 2), ("b", "text", "p4", 1, [1], 2), ("b", "text", "p5", 50, list(range(50)), 52)]
+    want += [(t, "book", p, 1, [i], n) for p, n in (("p1", 2), ("p3", 3), ("p5", 52)) for i, t in enumerate("ax")]
+    assert read(f"{tmp_path}/once") == sorted((*w, number[w[0]]) for w in want)
+    totals = spark.read.parquet(f"{tmp_path}/once/totals").first()
+    assert (totals.n, totals.mean, totals.buckets) == (5, 64 / 5, 4)
+    # rows of one key and length are one page
+    termindex.write(pages.unionAll(pages), f"{tmp_path}/twice", ["book", "text"], buckets=4)
+    assert [(*r[:4], r[4][:2]) for r in read(f"{tmp_path}/twice")] == [(*w[:3], 2 * w[3], [w[4][0]] * 2) for w in sorted(want)]
+
+
 def test_overlap_candidates_are_not_shuffled(spark):
     sig = spark.createDataFrame([(1, 7, 0.5), (1, 8, 0.5), (2, 7, 0.3), (2, 8, 0.7)], "section int, concept int, weight double")
     found = edges.conceptual(sig)
